@@ -17,8 +17,12 @@ from tidemark.llm.quality import quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Labels give the trusted target; counts are over all of docs."""
-    return quality(docs, table(spark, sf_dir, "labels")).filter("_q.kept").drop("_q")
+    """Documents that the quality rules reject go. Labels give the trusted target; counts are over all of docs.
+
+    The verdicts are written before they filter: pushed into the scan, the filter would repeat what they are made of.
+    """
+    decided = quality(docs, table(spark, sf_dir, "labels"))
+    return written(decided, "decided").filter("_q.kept").drop("_q")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
