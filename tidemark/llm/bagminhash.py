@@ -8,8 +8,8 @@ the earliest point it sees. Equal components have a probability of the weighted
 the latest component can't matter, so most shingles cost one hash: a first arrival beyond the horizon.
 
 Signatures are cut into bands. Buckets are searched from leaders (the members that meet most others) instead of by all
-pairs; what leaders leave apart is compared across the classes that a bucket still holds, so no link between different
-texts is lost. Every link is verified on the whole texts. Classes are the connected components of the links.
+pairs; texts of buckets that then still hold several classes go through an exact prefix join, so no link between
+different texts that share a bucket is lost. Every link is verified on the whole texts. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -187,6 +187,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", overlap("left", "right").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
+def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different comp among texts (node, text, comp) that can reach the similarity t.
+
+    The k-th repeat of a shingle counts as an element of its own, so multisets become sets. With elements in a common
+    order, rarest first, two sets of sizes m <= n that reach t share ceil(t / (1 + t) * (m + n)) elements; the first
+    they share then stands so early in both that as many still follow. Edits make rare elements, so a family of copies
+    that are far from each other has no element in common at places that early, and its pairs never arise.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sets = []
+            for text in batch.column(2):
+                keys, counts = np.unique(shingles(text.as_py(), words), return_counts=True)
+                many = np.repeat(keys, counts)
+                nth = np.arange(len(many)) - np.repeat(np.cumsum(counts) - counts, counts)
+                with np.errstate(over="ignore"):
+                    sets.append(_mix(many + nth.astype(np.uint64) * _GOLD).view(np.int64))
+            for k in range(0, len(sets), 50):
+                part = sets[k : k + 50]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[k : k + 50], batch.column(1)[k : k + 50], pa.ListArray.from_arrays(at, np.concatenate(part))], names=["node", "comp", "e"]
+                )
+
+    sets = written(texts.select("node", "comp", "text").mapInArrow(elements, "node string, comp string, e array<bigint>"), "elements")
+    loose = sets.select("node", F.explode("e").alias("e"))
+    common = loose.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # An element of one text only comes first and matches nothing: its number is all that is needed of such elements.
+    shared = loose.join(common, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    sized = sets.select("node", "comp", F.size("e").alias("n")).join(shared, "node").withColumn("own", F.col("n") - F.size("s"))
+    ahead = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1 - F.col("own"))
+    early = sized.select("node", "comp", "n", "own", F.posexplode(F.slice("s", F.lit(1), ahead))).select(
+        "node", "comp", "n", F.col("col.e").alias("e"), (F.col("n") - F.col("own") - F.col("pos")).alias("left")
+    )
+    x, y = early.alias("x"), early.alias("y")
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    return (
+        x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.left", "y.left") >= need))
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for every node with a link; labels spread and jump until stable."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -215,43 +259,38 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     pairs = members.join(leaders, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
     links = written(_verified(pairs, texts, similarity), "links")
     comps = components(links)
-    # Buckets that still hold several classes: their members meet across classes, never within one.
+    # Buckets that still hold several classes: their texts are joined exactly, by prefixes, across classes alone.
     held = members.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    rest = written(held.join(mixed, "bucket", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
+    rest = held.join(mixed, "bucket", "left_semi").select("node", "comp").distinct()
+    across = prefix_pairs(texts.join(rest, "node"), similarity)
+    across = across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(across, texts, similarity), "links")
     every = links.unionByName(more)
     return (components(every) if more.limit(1).count() else comps), every
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per row of docs: id_col, class_id, class_size, n_links, kept.
+    """One row per row of docs: id_col, class_id, class_size, kept.
 
-    class_id is the smallest id in the class, class_size counts rows, n_links the different texts a row's text is linked
-    to; the row with id class_id stays, exactly one if several have it. Equal texts (null counts as empty) are one node,
+    class_id is the smallest id in the class and class_size counts its rows; the row with id class_id stays, exactly one
+    if several have it. Equal texts (null counts as empty) are one node,
     whatever their number, and null ids never name a class unless it has no other. Texts without words form a class of
     equal texts each; texts under five words are near copies only of texts with the same words. Empty tables give no rows.
     """
-    comps, links = near_classes(docs, text_col, **how)
+    comps, _ = near_classes(docs, text_col, **how)
     rows = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"))
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    owned = nodes.join(comps, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    owned = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = Window.partitionBy("comp")
     lead = owned.select(
-        "node", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.min("id").over(per).alias("class_id"), F.sum("n").over(per).alias("class_size"),
+        "node", F.min("id").over(per).alias("class_id"), F.sum("n").over(per).alias("class_size"),
         F.min(F.struct(F.col("id").isNull(), "id", "node")).over(per)["node"].alias("lead"),
     )
     out = rows.join(lead, "node")
     best = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("lead"))
     first = Window.partitionBy("id", "node", best).orderBy(F.lit(1))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", (best & (F.row_number().over(first) == 1)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (best & (F.row_number().over(first) == 1)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
