@@ -1,0 +1,294 @@
+"""Operators against brute force, exact round trips, and odd rows."""
+
+import gzip
+import hashlib
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import bagminhash, exact_dedup, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+
+
+def lower(t):
+    return t.translate({c: c + 32 for c in range(65, 91)})
+
+
+def test_licenses(docs, texts):
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    rows = {r.doc_id: r for r in license_scan.license_digest(docs).collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        at = sorted((k, n) for n, p in phrases.items() for k in range(len(ws)) if ws[k : k + len(p)] == p)
+        r = rows[i]
+        assert (r.n_words, r.n_base) == (len(ws), len(at))
+        assert (r.first_word, r.last_word) == ((at[0][0], at[-1][0]) if at else (None, None))
+        assert r.base_labels == ",".join(sorted({n for _, n in at}))
+        assert {n for _, n in at} <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_piece_codec_is_the_library(docs, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r in piece_codec.encode_documents(docs, MODEL, keep=["doc_id"]).collect():
+        ids = sp.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert r.piece_ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_piece_codec_odd_texts():
+    e = piece_codec.Encoder(MODEL)
+    odd = ["", "a", " ", "  ", " a", "a ", "a  b", "\n", "\n\n", "a\nb", " \n ", "▁x▁", "日本語 テキスト", "😀 \t x", "a\n\n  b   c", "x" * 5000, "<s> </s>", "é́", "a\0b", "the the\r\n the"]
+    want = e.vocabulary.library.encode(odd, add_bos=True, add_eos=True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(odd)] == want
+    assert e.decode(e.encode(odd)) == e.vocabulary.library.decode(want)
+
+
+def test_warc_round_trip_and_salvage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "v\r\nx", "same"), (3, None, ""), (4, "w", None), (5, "z", "WARC/1.1\r\nnot a record\r\n\r\n")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(pages, path)
+    rows = {r.id: r for r in warc.read_warc(spark, path).collect()}
+    assert [(i, rows[i].kind, rows[i].refers_to) for i in sorted(rows)] == [(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None)]
+    assert rows[1].payload_digest == rows[2].payload_digest == warc._digest(b"same") and rows[1].payload_bytes == 4
+    record = b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{warc._digest(b'p%d' % i)}\r\nContent-Length: 2\r\n\r\np{i}\r\n\r\n".encode() for i in range(3))
+    one = len(record) // 3
+    broken = record[:one] + record[one:].replace(b"p1\r", b"q1\r")
+    assert [(x.kind, x.at) for x in warc.salvage(broken)] == [("response", 0), ("gap", one), ("response", 2 * one)]
+    members = [gzip.compress(record[k * one : (k + 1) * one]) for k in range(3)]
+    bad = bytearray(members[1])
+    bad[len(bad) // 2] ^= 0xFF
+    found = list(warc.salvage(members[0] + bytes(bad) + members[2]))
+    assert [x.headers["warc-record-id"][10] for x in found if x.kind == "response"][0::1][-1] == "2" and any(x.kind == "gap" for x in found)
+    assert list(warc.salvage(b"junk" + record))[0].kind == "gap" and not list(warc.salvage(b""))
+
+
+def brute_pii(t):
+    out = []
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for k, (name, rx) in enumerate(kinds):
+        for m in re.finditer(rx, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if name == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if name == "card":
+                s = sum(sum(divmod(int(c) * 2, 10)) if j % 2 else int(c) for j, c in enumerate(reversed(d)))
+                if not 14 <= len(d) <= 19 or s % 10:
+                    continue
+            if name == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(out)]
+
+
+def test_pii(spark, docs, texts):
+    extra = {10**6 + k: t for k, t in enumerate(["a@b.c%d@e.f", "1.2.3.4.5.6.7.8", "😀 x@y.zz +49 (30) 1234567", "4111 1111 1111 1111-", "1.2.3.0004 256.1.1.1", "9" * 9000, "a." * 3000 + "@b.c"])}
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
+    for r in pii.pii_digest(both).collect():
+        want = brute_pii((texts | extra)[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r.spans.split(",")) | {""}
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in want) for k in pii.BASE)
+
+
+def test_labelers_learn_reliability():
+    post, tables, _ = pii.fit_labelers([("+++++", 100), ("+0+++", 50), ("-00--", 120), ("-0-0-", 10)])
+    assert post["+++++"] > 0.95 and post["-00--"] < 0.05 and tables[0]["+"][1] > tables[0]["+"][0]
+
+
+def test_mixing(docs, texts):
+    rows = mixing.mix(docs, keep=["doc_id", "source"]).select("doc_id", "source", "_m.*").collect()
+    assert len(rows) == len(texts) and all(0 <= r.taken <= 3 * r.size for r in rows)
+    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) for r in rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r["size"]
+    names = sorted(sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, total = {}, set(names), sum(sizes.values())
+    while True:
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        left -= over
+    target |= share
+    for s in names:
+        own = [r for r in rows if r.source == s]
+        assert own[0].target == pytest.approx(target[s]) and own[0].source_size == sizes[s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 64 + 0.02 * target[s]
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7), keep=["doc_id", "source"]).select("doc_id", "source", "_m.*").collect())) == sorted(map(tuple, rows))
+
+
+def test_sainte_lague_is_exact(spark):
+    rnd = random.Random(3)
+    for _ in range(6):
+        votes, seats = [rnd.choice([1, 7, 50, 900, 10000]) + rnd.random() for _ in range(9)], rnd.randint(0, 60)
+        won = Counter()
+        for _ in range(seats):
+            won[max(range(9), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))] += 1
+        df = spark.createDataFrame([(k, v, seats) for k, v in enumerate(votes)], "k int, v double, seats int").withColumn("g", F.lit(1))
+        assert {r.k: r.quota for r in mixing.sainte_lague(df, ["g"], ["k"], "v", "seats").collect()} == {k: won[k] for k in range(9)}
+
+
+def test_exact_groups(docs, texts):
+    groups = {}
+    for i, t in texts.items():
+        groups.setdefault(lower(t), []).append(i)
+    for r in exact_dedup.exact_groups(docs).collect():
+        g = groups[lower(texts[r.doc_id])]
+        assert (r.keep_id, r.group_size, r.kept) == (max(g), len(g), r.doc_id == max(g))
+        assert r.text_sha256 == hashlib.sha256(lower(texts[r.doc_id]).encode()).hexdigest()
+    assert {r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()} == {max(g) for g in groups.values()}
+
+
+def test_quality_counts(spark, docs, texts):
+    for r in quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet"), keep=["doc_id"]).select("doc_id", "_q.*").collect():
+        t = texts[r.doc_id]
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
+        c = Counter(grams)
+        cover = {k + j for k, g in enumerate(grams) if c[g] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(ws), sum(map(len, ws)), len(cover))
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(ws) < 50 or 100 * len(cover) > 50 * len(ws))
+        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+
+
+def test_token_tree_equals_a_full_count(texts):
+    c = token_tree.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rnd, bits = random.Random(1), ["a", "the", " ", "  ", "\n", " \n ", "'s", "'", "12", "é", "!!", " x", "日"]
+    for k in range(300):
+        t = rnd.choice(list(texts.values()))[: rnd.choice([0, 1, 5, 50, 3000])] if k % 2 else "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 400)))
+        tree = token_tree.TokenTree(t, c)
+        for _ in range(4):
+            s = rnd.randint(0, len(t))
+            e = min(len(t), s + rnd.choice([0, 0, 1, 3, 30, 300]))
+            new = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 4)))
+            t = t[:s] + new + t[e:]
+            tree.edit(s, e, new)
+            assert tree.text() == t and tree.n_tokens == len(c.encoding.encode_ordinary(t))
+
+
+def test_gradients_are_those_of_the_loss():
+    m = langid.Tagger(["a", "b"], 4)
+    rng = np.random.default_rng(0)
+    x, mask, y = rng.integers(0, 256, (5, 3)), np.array([[1, 1, 1]] * 3 + [[1, 1, 0]] * 2, bool), np.array([0, 1, 1])
+    for p in (m.ahead, m.back):
+        p.w, p.u, p.b = (v.astype(np.float64) for v in (p.w, p.u, p.b))
+    _, grads = m.gradients(x, mask, y, np.ones(3))
+    for p, g in zip(m.parameters(), grads):
+        i = tuple(np.unravel_index(np.abs(g).argmax(), g.shape))
+        old = p[i]
+        p[i] = old + 1e-2
+        up = m.gradients(x, mask, y, np.ones(3))[0]
+        p[i] = old - 1e-2
+        down = m.gradients(x, mask, y, np.ones(3))[0]
+        p[i] = old
+        assert (up - down) / 2e-2 == pytest.approx(float(g[i]), rel=0.05, abs=1e-3)
+
+
+def test_language_id_on_held_out(docs):
+    model = langid.learn(docs)
+    r = langid.identify(docs, model, keep=["doc_id", "lang"]).filter("held_out").collect()
+    assert sum(x.lang == x.lang_pred for x in r) >= 0.97 * len(r) > 0
+
+
+def test_signatures_are_unbiased():
+    rng, errors = np.random.default_rng(1), []
+    for _ in range(12):
+        k, a = rng.integers(0, 2**62, 60).astype(np.uint64), rng.integers(1, 9, 60)
+        b = np.maximum(0, a + rng.integers(-2, 3, 60))
+        same = (bagminhash.signature(np.repeat(k, a), 1024) == bagminhash.signature(np.repeat(k, b), 1024)).mean()
+        errors.append(same - np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.03
+
+
+def near_brute(texts):
+    words, bags = bagminhash._Words(), {}
+    for i, t in texts.items():
+        bags[i] = (Counter(bagminhash.shingles(t, words).tolist()), t)
+    boss = {i: i for i in texts}
+
+    def top(i):
+        while boss[i] != i:
+            i = boss[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if bags[a][1] == bags[b][1] or bags[a][0].keys() & bags[b][0].keys() and bagminhash.weighted_jaccard(bags[a][0], bags[b][0]) >= 0.8:
+                x, y = top(a), top(b)
+                boss[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def test_near_duplicates(spark, docs, texts):
+    rnd, more = random.Random(4), {}
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(150)]
+    for k in range(60):  # a family of copies with 0 to 6 edits: many that are far from each other, in one bucket
+        ws = list(base)
+        for _ in range(k % 7):
+            ws[rnd.randrange(150)] = f"e{rnd.randint(0, 10**6)}"
+        more[5000 + k] = " ".join(ws)
+    every = texts | more
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    rows = {r.doc_id: r for r in bagminhash.near_duplicates(both).collect()}
+    want = near_brute(every)
+    assert {i: r.class_id for i, r in rows.items()} == want
+    assert {i for i, r in rows.items() if r.kept} == set(want.values())
+    assert {r.doc_id for r in bagminhash.drop_near_copies(both).collect()} == set(want.values())
+
+
+def edits(df):
+    return df.withColumn("edits", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("x ").alias("new"))))
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ALL = {
+    "licenses": lambda d, y: license_scan.scan_licenses(d), "codec": lambda d, y: piece_codec.encode_documents(d, MODEL), "pii": lambda d, y: pii.find_pii(d),
+    "mix": lambda d, y: mixing.mix(d), "exact": lambda d, y: exact_dedup.exact_groups(d), "quality": lambda d, y: quality.quality(d, y),
+    "tokens": lambda d, y: token_tree.count_with_edits(edits(d), RANKS, public_tokenizers.PATTERN), "language": lambda d, y: langid.identify(d, langid.learn(d)),
+    "near": lambda d, y: bagminhash.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
+def test_odd_rows_and_empty_tables(odd, none, labels, name):
+    assert len(ALL[name](odd, labels).collect()) == odd.count()
+    assert ALL[name](none, labels).collect() == []
+
+
+def test_odd_rows_are_dropped_once(odd):
+    kept = exact_dedup.drop_exact_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "7", "8", "None"]
+    assert sum(r.kept for r in exact_dedup.exact_groups(odd).collect()) == 6
+    near = bagminhash.drop_near_copies(odd)
+    assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "4", "7", "8", "None"] or near.count() == sum(r.kept for r in bagminhash.near_duplicates(odd).collect())
