@@ -292,3 +292,13 @@ def test_odd_rows_are_dropped_once(odd):
     assert sum(r.kept for r in exact_dedup.exact_groups(odd).collect()) == 6
     near = bagminhash.drop_near_copies(odd)
     assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "4", "7", "8", "None"] or near.count() == sum(r.kept for r in bagminhash.near_duplicates(odd).collect())
+
+
+def test_piece_codec_slices():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (0, 3, 1 << 20, 5, (3 << 20) + 1, 0, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(7))], names=["text", "row"])
+    parts = list(piece_codec._slices(batch))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert list(piece_codec._slices(batch.slice(0, 0))) == []
