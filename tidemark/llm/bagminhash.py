@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -135,11 +136,30 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 def _node(text: Column) -> Column:
     """A text's node: 128 bits of its SHA-256. Rows with the same text share it; null counts as empty."""
-    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """UTF-8 texts under zstd: texts move between executors several times, and prose packs far better so than under lz4."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    return texts.map(pack, na_action="ignore")
+
+
+@F.pandas_udf(T.BinaryType())
+def _unpacked(packs: pd.Series) -> pd.Series:
+    import zstandard
+
+    return packs.map(zstandard.ZstdDecompressor().decompress, na_action="ignore")
 
 
 def signed(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
-    """One row per distinct text with a shingle: node, buckets. Copies meet by node alone, before any signature moves."""
+    """One row per distinct text with a shingle: node, key (a number that stands for the node), buckets.
+
+    Copies meet by node alone, before any signature moves; the keys are fixed by writing them.
+    """
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,34 +181,36 @@ def signed(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
             if nodes:
                 flat = pa.array(np.concatenate(out))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], names=["node", "buckets"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", "buckets"])
 
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = written(texts.mapInArrow(sign, "node string, buckets array<bigint>"), "signed")
-    return made.distinct()
+    made = texts.mapInArrow(sign, "node binary, buckets array<bigint>").dropDuplicates(["node"])
+    return written(made.withColumn("key", F.monotonically_increasing_id()), "signed")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) whose weighted Jaccard similarity reaches the bound. Hot leaders are split as skewed joins."""
+    """pairs (a, b) of keys whose weighted Jaccard similarity reaches the bound. Hot leaders are split as skewed joins."""
 
     @F.pandas_udf("double")
     def overlap(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words, last, bag = _Words(), None, Counter()
+        import zstandard
+
+        words, last, bag, plain = _Words(), None, Counter(), zstandard.ZstdDecompressor().decompress
         for left, right in parts:
             out = []
             for x, y in zip(left, right):
                 if x != last:
-                    last, bag = x, Counter(shingles(x, words).tolist())
-                out.append(weighted_jaccard(bag, Counter(shingles(y, words).tolist())))
+                    last, bag = x, Counter(shingles(plain(x).decode(), words).tolist())
+                out.append(weighted_jaccard(bag, Counter(shingles(plain(y).decode(), words).tolist())))
             yield pd.Series(out, dtype="float64")
 
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("pack").alias("right")), "b")
+    both = both.join(texts.select(F.col("key").alias("a"), F.col("pack").alias("left")), "a")
     return both.select("a", "b", overlap("left", "right").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different comp among texts (node, text, comp) that can reach the similarity t.
+    """All pairs (a, b) of different comp among texts (key, pack, comp) that can reach the similarity t.
 
     The k-th repeat of a shingle counts as an element of its own, so multisets become sets. With elements in a common
     order, rarest first, two sets of sizes m <= n that reach t share ceil(t / (1 + t) * (m + n)) elements; the first
@@ -197,11 +219,13 @@ def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        import zstandard
+
+        words, plain = _Words(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sets = []
-            for text in batch.column(2):
-                keys, counts = np.unique(shingles(text.as_py(), words), return_counts=True)
+            for pack in batch.column(2):
+                keys, counts = np.unique(shingles(plain(pack.as_py()).decode(), words), return_counts=True)
                 many = np.repeat(keys, counts)
                 nth = np.arange(len(many)) - np.repeat(np.cumsum(counts) - counts, counts)
                 with np.errstate(over="ignore"):
@@ -210,24 +234,24 @@ def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
                 part = sets[k : k + 50]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[k : k + 50], batch.column(1)[k : k + 50], pa.ListArray.from_arrays(at, np.concatenate(part))], names=["node", "comp", "e"]
+                    [batch.column(0)[k : k + 50], batch.column(1)[k : k + 50], pa.ListArray.from_arrays(at, np.concatenate(part))], names=["key", "comp", "e"]
                 )
 
-    sets = written(texts.select("node", "comp", "text").mapInArrow(elements, "node string, comp string, e array<bigint>"), "elements")
-    loose = sets.select("node", F.explode("e").alias("e"))
+    sets = written(texts.select("key", "comp", "pack").mapInArrow(elements, "key bigint, comp bigint, e array<bigint>"), "elements")
+    loose = sets.select("key", F.explode("e").alias("e"))
     common = loose.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # An element of one text only comes first and matches nothing: its number is all that is needed of such elements.
-    shared = loose.join(common, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
-    sized = sets.select("node", "comp", F.size("e").alias("n")).join(shared, "node").withColumn("own", F.col("n") - F.size("s"))
+    shared = loose.join(common, "e").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    sized = sets.select("key", "comp", F.size("e").alias("n")).join(shared, "key").withColumn("own", F.col("n") - F.size("s"))
     ahead = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1 - F.col("own"))
-    early = sized.select("node", "comp", "n", "own", F.posexplode(F.slice("s", F.lit(1), ahead))).select(
-        "node", "comp", "n", F.col("col.e").alias("e"), (F.col("n") - F.col("own") - F.col("pos")).alias("left")
+    early = sized.select("key", "comp", "n", "own", F.posexplode(F.slice("s", F.lit(1), ahead))).select(
+        "key", "comp", "n", F.col("col.e").alias("e"), (F.col("n") - F.col("own") - F.col("pos")).alias("left")
     )
     x, y = early.alias("x"), early.alias("y")
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     return (
         x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.left", "y.left") >= need))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     )
 
 
@@ -247,27 +271,35 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): node and comp of every text that is linked to a different text; links (a, b, similarity)."""
+    """(classes, links): node and comp of every text that is linked to a different text; links (a, b, similarity).
+
+    Inside, nodes go by their keys, which are half as long and pack better; texts move packed.
+    """
     signs = signed(docs, text_col, bands, rows)
-    members = signs.select("node", F.explode("buckets").alias("bucket"))
+    names = signs.select("key", "node")
+    members = signs.select("key", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(sizes, "bucket"), "members")
-    met = written(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
-    texts = docs.select(_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = written(texts.join(met.select("node"), "node", "left_semi").distinct(), "texts")
-    leaders = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
-    pairs = members.join(leaders, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    met = written(members.groupBy("key").agg(F.sum("n").alias("met")), "met")
+    texts = docs.select(_node(F.col(text_col)).alias("node"), _packed(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("pack"))
+    texts = written(texts.join(names.join(met.select("key"), "key"), "node").dropDuplicates(["node"]).select("key", "pack"), "texts")
+    leaders = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("a"))
+    pairs = written(members.join(leaders, "bucket").filter("key != a").select("a", F.col("key").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, texts, similarity), "links")
     comps = components(links)
     # Buckets that still hold several classes: their texts are joined exactly, by prefixes, across classes alone.
-    held = members.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = members.select("bucket", "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    rest = held.join(mixed, "bucket", "left_semi").select("node", "comp").distinct()
-    across = prefix_pairs(texts.join(rest, "node"), similarity)
+    rest = held.join(mixed, "bucket", "left_semi").select("key", "comp").distinct()
+    across = prefix_pairs(texts.join(rest, "key"), similarity)
     across = across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(across, texts, similarity), "links")
     every = links.unionByName(more)
-    return (components(every) if more.limit(1).count() else comps), every
+    if more.limit(1).count():
+        comps = components(every)
+    named = lambda df, c: df.withColumnRenamed(c, "key").join(names, "key").drop("key").withColumnRenamed("node", c)
+    owned = comps.withColumnRenamed("node", "key").join(names, "key").drop("key")
+    return named(owned.withColumnRenamed("node", "own"), "comp").withColumnRenamed("own", "node"), named(named(every, "a"), "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -300,8 +332,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = named.groupBy("_node").agg(F.min("_id").alias("_id"))
     owned = nodes.join(comps.select(F.col("node").alias("_node"), "comp"), "_node", "left").withColumn("comp", F.coalesce("comp", "_node"))
     best = owned.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id"), F.col("_node"))).alias("_b")).select("_b._id", "_b._node")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"), F.col(id_col).alias("_i"), _node(F.col(text_col)).alias("_n"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*rest).alias("_r"), _packed(F.col(text_col).cast("binary")).alias("_t"), F.col(id_col).alias("_i"), _node(F.col(text_col)).alias("_n"))
     # Row by row most nodes are their own class, so the join keeps what a class's leader names, and ties keep one.
     one = Window.partitionBy("_n", "_i").orderBy(F.lit(1))
     kept = whole.join(best, (F.col("_n") == F.col("_node")) & F.col("_i").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_k", F.row_number().over(one)).filter("_k = 1").select("_r.*")
+    back = {text_col: _unpacked("_t").cast("string").alias(text_col)}
+    return kept.withColumn("_k", F.row_number().over(one)).filter("_k = 1").select(*[back.get(c, F.col(f"_r.`{c}`")) for c in docs.columns])
