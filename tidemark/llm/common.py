@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a character class of regular expressions and as plain characters.
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
+BATCH_ROWS, _ARROW_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it again.
+
+    Python stages of df get Arrow batches of at most BATCH_ROWS rows: whole texts by the ten thousand fill memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
