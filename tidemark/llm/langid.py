@@ -203,9 +203,15 @@ def held_out(id_col: str):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_documents: int = MAX_DOCUMENTS, max_words: int = MAX_WORDS) -> Tagger | None:
-    """A tagger from at most max_documents labelled documents that aren't held out, and their max_words most frequent words."""
+    """A tagger from labelled documents that aren't held out, and their max_words most frequent words.
+
+    Ids are drawn first, at most max_documents of them, and their texts (all, if an id repeats) looked up by a broadcast
+    of that size, so no task gathers texts. Rows without an id are not learned from.
+    """
     ok = F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False))
-    some = docs.filter(ok).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_documents)
+    able = docs.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
+    drawn = able.select("i").orderBy(F.xxhash64("i"), "i").limit(max_documents)
+    some = able.join(F.broadcast(drawn), "i", "left_semi")
     words = some.select("y", F.explode(F.split("t", r"\s+")).alias("w")).filter("w != ''").groupBy("w", "y").agg(F.count(F.lit(1)).alias("n"))
     rows = words.orderBy(F.desc("n"), "w", "y").limit(max_words).collect()
     return train([(r[0], r[1], r[2]) for r in rows]) if rows else None
