@@ -85,6 +85,46 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert list(warc.salvage(b"junk" + record))[0].kind == "gap" and not list(warc.salvage(b""))
 
 
+def test_warc_salvage_of_written_archives(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "concat(id, repeat('<p>text</p>', 300), sha2(cast(id AS string), 512)) AS html")
+    path = str(tmp_path / "made")
+    warc.write_warc(pages.coalesce(1), path)
+    (name,) = [x for x in os.listdir(path) if x.startswith("part-")]
+    with open(f"{path}/{name}", "rb") as f:
+        data = f.read()
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 60
+    whole = [x for x in warc.salvage(data)]
+    number = lambda x: x.headers["warc-record-id"]
+    assert len({number(x) for x in whole}) == len(whole) == 60 and len({x.at for x in whole}) == 60
+    hit = whole[30]
+    for where in ((hit.at + hit.end) // 2, hit.at, hit.at + 1, hit.end - 9):
+        bad = bytearray(data)
+        bad[where] ^= 0x55
+        found = list(warc.salvage(bytes(bad)))
+        good = [number(x) for x in found if x.kind != "gap"]
+        assert len(good) == len(set(good)) and {number(x) for x in whole} - set(good) <= {number(hit)} and any(x.kind == "gap" for x in found)
+    bad = bytearray(data)
+    bad[hit.end - 6] ^= 0x55  # the trailer: the record itself is intact
+    assert [number(x) for x in warc.salvage(bytes(bad)) if x.kind != "gap"] == [number(x) for x in whole]
+
+
+def test_warc_salvage_of_damaged_members_and_plain_archives():
+    def record(i, body):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{warc._digest(body)}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    good = lambda data: [int(x.headers["warc-record-id"][10:-1]) for x in warc.salvage(data) if x.kind != "gap"]
+    rng = random.Random(1)
+    many = b"".join(record(i, b"%d " % i * rng.randrange(50, 400)) for i in range(200))
+    for level in (0, 6):  # stored and packed
+        packed = bytearray(gzip.compress(many, level, mtime=0))
+        packed[-7] ^= 1
+        assert good(bytes(packed)) == list(range(200))
+    plain = bytearray(record(0, b"see \x1f\x8b\x08 and " + gzip.compress(b"no record")) + record(1, b"b") + record(2, b"c"))
+    plain[0] = 0
+    assert good(bytes(plain)) == [1, 2] and good(bytes(plain) + gzip.compress(record(3, b"d")) + b"junk" + record(4, b"e")) == [1, 2, 3, 4]
+    assert warc._member(b"a" * (1 << 24))[-1] == 0 and gzip.decompress(warc._member(b"a" * (1 << 24))) == b"a" * (1 << 24)
+
+
 def brute_pii(t):
     out = []
     kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]

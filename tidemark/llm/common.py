@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a character class of regular expressions and as plain characters.
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
-BATCH_ROWS, _ARROW_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, ARROW_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def arrow_rows(before: str) -> str:
+    """BATCH_ROWS, or fewer if the session asks for fewer rows a batch."""
+    return str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
@@ -40,12 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, arrow_rows(before))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_ARROW_ROWS, before)
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

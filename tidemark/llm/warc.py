@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-The writer forms records as strings and lets Spark's text writer store them, so it works on any file system. The reader
-checks every record (version line, header, length, trailing line ends, payload digest); after a failure it looks for the
-next valid gzip member or version line, goes on from there and logs the bytes in between as a quarantined gap.
+The writer forms records as strings, packs each into a gzip member of its own and lets Spark's text writer store the
+bytes, so it works on any file system. The reader checks every record (version line, header, length, trailing line ends,
+payload digest); after a failure it looks for the next gzip member or version line that begins a valid record, goes on
+from there and logs the bytes in between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ARROW_ROWS, arrow_rows
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END, _MAGIC, _VERSION = b"\r\n\r\n", b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r\n")
 #: Records in an archive at most; an archive is read by one task.
@@ -34,7 +37,7 @@ def base32_of_hex(hexed: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """One WARC record per row as a string column value, without its last line end.
+    """One WARC record per row as a string column value.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are responses and the others revisit
     it; smaller payloads are all responses. A null payload is empty, a null uri is left out, and null ids lose against
@@ -54,13 +57,34 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
         head("WARC-Date", F.lit("2024-01-01T00:00:00Z")), F.coalesce(head("WARC-Target-URI", F.col("uri")), F.lit("")),
         head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha")))), head("WARC-Payload-Length", F.col("n").cast("string")),
         F.when(visit, head("WARC-Refers-To", named(F.col("first")))).otherwise(""), head("Content-Type", F.lit("text/html")),
-        head("Content-Length", F.when(visit, "0").otherwise(F.col("n").cast("string"))), F.lit("\r\n"), F.when(visit, "").otherwise(F.col("payload")), F.lit("\r\n"),
+        head("Content-Length", F.when(visit, "0").otherwise(F.col("n").cast("string"))), F.lit("\r\n"), F.when(visit, "").otherwise(F.col("payload")), F.lit("\r\n\r\n"),
     )
     return joined.select(text.alias("value"))
 
 
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member. Its last byte is 0: from 16 MB on an empty member follows, as sizes end in their high byte."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.flush()
+    return out if out[-1] == 0 else out + _member(b"")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_member(x.as_py().encode())[:-1] for x in batch.column(0)], pa.binary())], names=["value"])
+
+
 def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE, **how) -> None:
-    records(pages, **how).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Archives of at most per_file records, a gzip member each. The writer's line separator is every member's last byte;
+    file names end in .txt, as the writer itself doesn't compress."""
+    spark = pages.sparkSession
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, arrow_rows(before))
+    try:
+        packed = records(pages, **how).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        packed.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 @dataclass
@@ -122,37 +146,62 @@ def _plain(data: bytes) -> Iterator[Salvaged]:
         at = end
 
 
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """All that a gzip member gives before its end or first fault, the place of that, and the fault or ''."""
+    unpack, out, k, reason = zlib.decompressobj(31), [], at, ""
+    for step in (1 << 16, 1 << 8, 1):
+        while k < len(data):
+            before = unpack.copy()
+            try:
+                out.append(unpack.decompress(data[k : k + step]))
+            except zlib.error as e:
+                reason, unpack = str(e), before
+                break
+            k = min(k + step, len(data))
+            if unpack.eof:
+                return b"".join(out), k - len(unpack.unused_data), ""
+        else:
+            return b"".join(out), k, "gzip member is cut short"
+    piece = data[k : k + 1]
+    try:
+        while x := unpack.decompress(piece, 1):
+            out.append(x)
+            piece = unpack.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out), k, reason
+
+
+def _next(data: bytes, member: int, plain: int) -> int:
+    """The next place where a valid record begins: a gzip member from one place on, or a version line from another."""
+    while (m := _VERSION.search(data, plain)) and isinstance(_one(data, m.start()), str):
+        plain = m.start() + 1
+    end = m.start() if m else len(data)
+    while 0 <= (member := data.find(_MAGIC, member, end)):
+        if any(x.kind != "gap" for x in _plain(_unpacked(data, member)[0])):
+            return member
+        member += 1
+    return end
+
+
 def salvage(data: bytes) -> Iterator[Salvaged]:
-    """Records and gaps of an archive, plain or of gzip members with any number of records each."""
-    at = data.find(_MAGIC) if not _VERSION.match(data) else -1
-    if at < 0:
-        yield from _plain(data)
-        return
-    if at:
-        yield Salvaged("gap", 0, at, "no gzip member")
+    """Records and gaps of an archive, plain or of gzip members with any number of records each; the two may alternate."""
+    at = 0
     while at < len(data):
-        unpack, out, reason = zlib.decompressobj(31), [], ""
-        try:
-            for k in range(at, len(data), 1 << 16):
-                out.append(unpack.decompress(data[k : k + (1 << 16)]))
-                if unpack.eof:
-                    break
-            end = k + min(1 << 16, len(data) - k) - len(unpack.unused_data)
-            reason = "" if unpack.eof else "gzip member is cut short"
-        except zlib.error as e:
-            reason = str(e)
-        if reason:
-            end = data.find(_MAGIC, at + 1)
-            end = len(data) if end < 0 else end
-        for x in _plain(b"".join(out)):
-            yield Salvaged(x.kind, at, end, x.reason, x.headers, x.payload)
-        if reason:
-            yield Salvaged("gap", at, end, reason)
-        elif end < len(data) and data[end : end + 3] != _MAGIC:
-            there = data.find(_MAGIC, end)
-            there = len(data) if there < 0 else there
-            yield Salvaged("gap", end, there, "no gzip member")
-            end = there
+        if data.startswith(_MAGIC, at):
+            out, end, reason = _unpacked(data, at)
+            # Stored blocks show their records: what was unpacked isn't looked for again as plain text.
+            end = _next(data, at + 1, end) if reason else end
+            for x in _plain(out):
+                yield Salvaged(x.kind, at, end, x.reason, x.headers, x.payload)
+            if reason:
+                yield Salvaged("gap", at, end, reason)
+        elif isinstance(found := _one(data, at), Salvaged):
+            yield found
+            end = found.end
+        else:
+            end = _next(data, at, at + 1)
+            yield Salvaged("gap", at, end, found)
         at = end
 
 
