@@ -66,6 +66,13 @@ def test_piece_codec_odd_texts():
     assert e.decode(e.encode(odd)) == e.vocabulary.library.decode(want)
 
 
+def test_license_labels_do_not_depend_on_the_size_of_the_table(spark):
+    part = ["Apache License, Version 2.0", "licensed under terms", "also licensed", "the license version of an apache", "nothing here at all"]
+    for times in (5, 5000):
+        rows = spark.range(times).selectExpr(f"explode(array({', '.join(map(repr, part))})) AS text", "id AS doc_id")
+        assert {r.labels for r in license_scan.license_digest(rows, keep=("text",)).filter("text LIKE 'Apache%'").select("labels").collect()} == {"apache,apache-2.0"}, times
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "same"), (2, "v\r\nx", "same"), (3, None, ""), (4, "w", None), (5, "z", "WARC/1.1\r\nnot a record\r\n\r\n")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"

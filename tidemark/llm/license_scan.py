@@ -64,7 +64,8 @@ def scan_licenses(
     A place is where a template's key phrase stands, with the words before it in the template counted into its start for
     templates beyond the base ones; base ones are places of the phrase itself, all of them. Others need a weighed cover of
     at least cover. score is the largest cover, 0 without a place. Null and empty texts have no words and no places;
-    repeated rows get equal results and an empty table none. Document frequencies are counted over all documents.
+    repeated rows get equal results and an empty table none. Document frequencies of all notice words that aren't common are
+    counted over all documents.
     """
     keep = docs.columns if keep is None else keep
     rare = sorted({w for t in templates for w in _rare(t)})
@@ -73,12 +74,15 @@ def scan_licenses(
         "_r", F.slice("w", F.when(F.get("w", F.lit(0)) == "", 2).otherwise(1), F.size("w")).alias("w")
     )
     n = F.size("w") - F.when(F.get("w", F.size("w") - 1) == "", 1).otherwise(0)
+    weighed = sorted({w for t in templates for w in t.notice.split() if w not in COMMON})
+    among = lambda words: F.array(*map(F.lit, words))
     looked = cut.select(
-        "_r", F.greatest(F.lit(0), n).cast("long").alias("n_words"), F.when(F.arrays_overlap("w", F.array(*map(F.lit, rare))), F.col("w")).alias("w")
+        "_r", F.greatest(F.lit(0), n).cast("long").alias("n_words"), F.array_intersect("w", among(weighed)).alias("known"),
+        F.when(F.arrays_overlap("w", among(rare)), F.col("w")).alias("w"),
     )
     looked = written(looked, "licenses")
-    seen = looked.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, rare)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    df = dict(seen.collect())  # one row for each rare template word at most
+    seen = looked.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    df = dict(seen.collect())  # one row for each weighed template word at most
     total = looked.count()
     idf = lambda word: math.log((1 + total) / (1 + df.get(word, 0))) + 1 if word not in COMMON else 0.1
     index = [(t, max(_rare(t), key=lambda w: (idf(w), w))) for t in templates]
