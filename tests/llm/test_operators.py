@@ -213,6 +213,21 @@ def test_exact_groups(docs, texts):
     assert {r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()} == {max(g) for g in groups.values()}
 
 
+def test_quality_scores_the_whole_text(spark, texts):
+    """Junk that a corpus holds counts by its length, wherever it stands in a word."""
+    rng = random.Random(1)
+    bad = lambda n: "".join(rng.choices("BCDFGHJKQXZ0123456789", k=n))
+    corrupt = lambda words: " ".join(bad(max(0, len(x) - 3)) + x[-3:] for x in words)
+    clean = [t.split()[:1000] for _, t in sorted(texts.items()) if len(set(t.split())) >= 100][:20]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(clean)] + [(100 + k, corrupt(x)) for k, x in enumerate(clean)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(len(clean))], "doc_id long, quality int")
+    words = clean[0]
+    made = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:60]) + " " + bad(20_000)), (3, corrupt(words))], "doc_id long, text string")
+    table = quality.llr_table(docs, quality.trusted_ids(labels))
+    rows = quality.score_quality(made, table).select("doc_id", "_q.kept", "_q.base_failed").collect()
+    assert {r.doc_id: (r.kept, r.base_failed) for r in rows} == {1: (True, False), 2: (False, False), 3: (False, False)}
+
+
 def test_quality_counts(spark, docs, texts):
     for r in quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet"), keep=["doc_id"]).select("doc_id", "_q.*").collect():
         t = texts[r.doc_id]

@@ -1,8 +1,8 @@
 """Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-The n-grams are the last ``N`` characters of each word, hashed into ``buckets`` buckets. Two multinomials over the
-buckets are counted, with add-one smoothing: one over all documents (raw), one over the trusted documents (target).
-A document's score is the mean, over its n-grams, of ln(target) - ln(raw); the mean is the length normalisation, and a
+The n-grams are all runs of ``N`` bytes of the whole UTF-8 text, white space too, hashed into ``buckets`` buckets. Two
+multinomials over the buckets are counted, with add-one smoothing: one over all documents (raw), one over the trusted
+documents (target). A document's score is the mean, over its n-grams, of ln(target) - ln(raw); the mean is the length normalisation, and a
 fixed threshold decides every document.
 """
 
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import WS, WS_CHARS
 
-N = 3
+N = 4
 BUCKETS = 1 << 13
 #: Bound on the labelled documents that the target is counted from; those with the smallest hashes are taken.
 MAX_TRUSTED = 20_000
 #: Nats per n-gram. See README for the scores on which it rests.
-THRESHOLD = -0.8
+THRESHOLD = -0.15
 
 
 def _words(text: Column) -> Column:
@@ -28,8 +28,15 @@ def _words(text: Column) -> Column:
     return F.when(bare != "", F.split(bare, WS + "+")).otherwise(F.array().cast("array<string>"))
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, -N, N)), F.lit(buckets)).cast("int")
+def _bucket(data: Column, at: Column, buckets: int) -> Column:
+    """Bucket of the n-gram at a place, from 1. In bytes a place is found at once, in characters only from the start."""
+    return F.pmod(F.xxhash64(F.substring(data, at, F.lit(N))), F.lit(buckets)).cast("int")
+
+
+def _places(data: Column) -> Column:
+    """Places of the n-grams of a binary; none in a shorter one."""
+    n = F.octet_length(data) - (N - 1)
+    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -41,16 +48,17 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 
 
 def llr_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> list[float] | None:
-    """ln(target) - ln(raw) of every bucket, counted over all documents; None if no trusted document has a word.
+    """ln(target) - ln(raw) of every bucket, counted over all documents; None if no trusted document has an n-gram.
 
     What reaches the driver is one row per bucket, whatever the corpus.
     """
     marked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(
         F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left"
     )
-    words = marked.select("good", F.explode(_words(F.col("t"))).alias("w"))
+    data = marked.select("good", F.col("t").cast("binary").alias("d"))
+    places = data.select("good", "d", F.explode(_places(F.col("d"))).alias("at"))
     counted = (
-        words.select("good", _bucket(F.col("w"), buckets).alias("b"))
+        places.select("good", _bucket(F.col("d"), F.col("at"), buckets).alias("b"))
         .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     )
     raw, target = [0] * buckets, [0] * buckets
@@ -69,7 +77,7 @@ def score_quality(
     n_repeat_words, llr, base_failed, kept.
 
     Null and empty texts have no words: all counts are 0, llr is null and base_failed holds (under 50 words).
-    Without trusted words (table None) llr is null and the base rules decide alone. Every row is decided by its own
+    Without trusted n-grams (table None) llr is null and the base rules decide alone. Every row is decided by its own
     text, so repeated rows get equal results, and other columns pass through untouched.
     """
     buckets = len(table) if table else BUCKETS
@@ -84,8 +92,10 @@ def score_quality(
     )
     if table:
         ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to one constant
-        total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + F.get(ratios, _bucket(x, buckets)))
-        llr = F.when(F.size(w) > 0, total / F.size(w))
+        total = lambda d: F.aggregate(_places(d), F.lit(0.0), lambda acc, at: acc + F.get(ratios, _bucket(d, at, buckets)))
+        bound = F.transform(F.array(F.col("t").cast("binary")), total)  # the bytes are made once a text, not once an n-gram
+        size = F.octet_length("t") - (N - 1)
+        llr = F.when((F.size(w) > 0) & (size > 0), F.get(bound, F.lit(0)) / size)
     else:
         llr = F.lit(None).cast("double")
     two = one.select(
