@@ -42,3 +42,8 @@ def test_query_matches_sql(spark, duck, name):
         (a, b) for a, b in zip(rows, expected) if not all(x == y or (isinstance(x, float) and isinstance(y, (int, float)) and abs(x - y) <= 2e-4 * max(1, abs(x))) for x, y in zip(a, b))
     ]
     assert not bad, bad[:3]
+
+
+def test_liveness_gaps_are_those_over_ten_seconds(spark):
+    rows = catalog.queries()["w15_liveness_gaps"](spark, SF).collect()
+    assert rows and 10_000 < min(r.silent_ms for r in rows) < 3_600_000

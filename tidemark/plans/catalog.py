@@ -64,6 +64,12 @@ def w15_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.silences(src.ticks(spark, sf_dir), 3_600_000)
 
 
+@query(f"WITH {src.TICKS}, g AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, id) AS since FROM ticks) SELECT symbol, since, ts AS until, ts - since AS silent_ms FROM g WHERE ts - since > 10000")
+def w15_liveness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences over the reference's 10 s; w15_silences holds those over an hour."""
+    return flow.silences(src.ticks(spark, sf_dir))
+
+
 @query(f"WITH {src.TICKS}, g AS (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ticks) SELECT symbol, id, price FROM g WHERE seen IS NULL OR price > seen")
 def w16_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.accepted(src.ticks(spark, sf_dir), "price").select("symbol", "id", "price")
