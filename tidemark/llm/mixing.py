@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Targets follow from weights and caps (water filling). Each source's target, cut into blocks of ``block`` words, is
-apportioned to sources and then, within a source, to its shards: seats go to the highest quotients votes / (2k + 1).
+apportioned to sources, within a source to groups of shards, and within a group to its shards: seats go to the highest
+quotients votes / (2k + 1). Shards are in proportion to the words, and a group holds about as many shards as a source
+has groups, so no window holds more rows than the square root of the number of shards.
 A shard lays its documents end to end in an order seeded by hash; its quota of q blocks out of n is every block
 q div n times, and q mod n blocks once more, spread evenly from a seeded start.
 """
@@ -11,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS
+from .common import WS, WS_CHARS, passing, row_of, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 16
-#: Words that a shard has on the mean, and the most shards there are: a bound on parallel pieces, not on rows.
-SHARD_WORDS, MAX_SHARDS = 100_000, 4096
+#: Words that a shard has on the mean.
+SHARD_WORDS = 100_000
 CAP = 3
+#: Parts of a document that copies are rounded from.
+_PARTS = 1 << 20
 
 
 def text_size(text: Column) -> Column:
@@ -81,27 +85,42 @@ def mix(
     without any word. No document is taken more than cap times its size. Rows with equal ids are laid out by their text,
     and fully equal rows are interchangeable. Equal input gives equal output, in whatever order or partitions it comes.
     """
-    keep = docs.columns if keep is None else keep
+    keep = passing(docs.columns if keep is None else keep, ["_m"])
+    laid = _laid(docs, id_col, text_col, source_col, weights, block, seed, cap, keep)
+    return laid.select("r.*", F.struct("size", "source_size", "target", "taken").alias("_m"))
+
+
+def _laid(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], block: int, seed: int, cap: int, keep: list[str], shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """r (the columns that stay), source, shard, place, tie, size, source_size, target, taken of every document."""
     sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_r"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"),
+        row_of(keep), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(id_col), F.lit(seed)).alias("place"), F.xxhash64(F.col(text_col)).alias("tie"),
     )
-    total = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    words = total.agg(F.sum("source_size")).first()[0] or 0
-    shards = max(1, min(MAX_SHARDS, -(-words // SHARD_WORDS)))
-    shard = F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(shards)).cast("int")
-    cells = sized.groupBy("source", shard.alias("shard")).agg(F.sum("size").alias("cell_size"))
+    light = written(sized.select("source", "size", "place"), "sizes")
+    words = light.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    width = max(1, round(shards**0.5))  # shards in a group
+    shard = F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(shards))
+    cells = written(light.groupBy("source", shard.alias("shard")).agg(F.sum("size").alias("cell_size")), "cells")
+    groups = cells.groupBy("source", F.expr(f"shard div {width}").alias("group")).agg(F.sum("cell_size").alias("group_size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, cap)
     seats = sainte_lague(targets.withColumn("_seats", F.lit(round(words / block))), [], ["rank"], "target", "_seats")
     seats = seats.select("source", "source_size", "target", F.col("quota").alias("source_blocks"))
+    of_source = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source"))
+    parted = groups.alias("g").join(seats.alias("s"), of_source("g", "s")).select("g.source", "group", "group_size", "source_size", "target", "source_blocks")
+    parted = sainte_lague(parted, ["source"], ["group"], "group_size", "source_blocks").withColumnRenamed("quota", "group_blocks")
+    parted = parted.select("source", "group", "source_size", "target", "group_blocks")
+    every = cells.withColumn("group", F.expr(f"shard div {width}"))
     quotas = sainte_lague(
-        cells.alias("c").join(seats.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-        .select("c.source", "shard", "cell_size", "source_size", "target", "source_blocks"),
-        ["source"], ["shard"], "cell_size", "source_blocks",
+        every.alias("c").join(parted.alias("p"), of_source("c", "p") & (F.col("c.group") == F.col("p.group")))
+        .select("c.source", "c.group", "shard", "cell_size", "source_size", "target", "group_blocks"),
+        ["source", "group"], ["shard"], "cell_size", "group_blocks",
     )
     n = F.ceil(F.col("cell_size") / block)
     plan = quotas.withColumn("n", n).withColumn("quota", F.least("quota", cap * F.col("n"))).select(
-        F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "source_size", "target", "n",
+        F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "source_size", F.col("target").cast("double").alias("target"), "n",
         F.when(F.col("n") > 0, F.expr("quota div n")).otherwise(0).alias("every"),
         F.when(F.col("n") > 0, F.pmod("quota", "n")).otherwise(0).alias("more"),
         F.when(F.col("n") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), "n")).otherwise(0).alias("start"),
@@ -111,25 +130,33 @@ def mix(
     )
     both = laid.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
 
-    def chosen(j: Column) -> Column:
-        """Chosen blocks before block j."""
-        return F.when(F.col("n") > 0, F.floor((j * F.col("more") + F.col("start")) / F.when(F.col("n") > 0, F.col("n")))).otherwise(0)
+    def chosen(j: str) -> str:
+        """Chosen blocks before block j, in whole numbers."""
+        return f"CASE WHEN n > 0 THEN ({j} * more + start) div n ELSE 0 END"
 
-    def words_before(p: Column) -> Column:
-        j = F.floor(p / block)
-        return chosen(j) * block + (chosen(j + 1) - chosen(j)) * (p - j * block)
+    def words_before(p: str) -> Column:
+        j = f"(({p}) div {block})"
+        return F.expr(f"{chosen(j)} * {block} + ({chosen(f'({j} + 1)')} - {chosen(j)}) * (({p}) - {j} * {block})")
 
-    taken = F.col("every") * F.col("size") + words_before(F.col("end")) - words_before(F.col("end") - F.col("size"))
-    return both.select(
-        "_r.*", F.struct("size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken")).alias("_m")
-    )
+    taken = F.col("every") * F.col("size") + words_before("end") - words_before("end - size")
+    return both.select("r", "source", "shard", "place", "tie", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 7, **how) -> DataFrame:
-    """The mix as documents: each row taken / size times, the fraction rounded up or down by a draw seeded with its id."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.when(F.col("_m.size") > 0, F.floor(F.col("_m.taken") / F.col("_m.size") + draw)).otherwise(0)
-    return (
-        mix(docs, id_col=id_col, seed=seed, **how)
-        .withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("_m", "_c")
-    )
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7, cap: int = CAP,
+) -> DataFrame:
+    """The mix as whole documents, all their columns: each row taken / size times, rounded up or down.
+
+    Parts of copies add up along a shard's documents in order of size, from a seeded start, and whenever a whole is full
+    the document there gets one more copy. So what rounding moves stays within a shard and between documents of
+    neighbouring sizes: a shard's words differ from its quota by less than its largest document. Documents without a
+    word have no copy. Equal input gives equal output.
+    """
+    laid = _laid(docs, id_col, text_col, source_col, weights, block, seed, cap, docs.columns)
+    part = F.when(F.col("size") > 0, F.expr(f"(taken % size) * {_PARTS} div size")).otherwise(0)
+    start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.lit(_PARTS))
+    by_size = Window.partitionBy("source", "shard").orderBy("size", "place", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    upto = laid.withColumn("part", part).withColumn("upto", start + F.sum("part").over(by_size))
+    copies = F.when(F.col("size") > 0, F.expr(f"taken div size + upto div {_PARTS} - (upto - part) div {_PARTS}")).otherwise(0)
+    return upto.select("r", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("r.*")
