@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import HOT, hot_join, row_of, unpacked, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8, 28 bands of 4 miss a pair with a probability of 3e-7.
@@ -92,7 +92,8 @@ def _ring(keys: np.ndarray, counts: np.ndarray, ring: int, horizon: float, m: in
         with np.errstate(over="ignore"):
             draws = _mix(base[:, None] + (steps[None, :] + np.uint64(1)) * _M2)
         gaps = -np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-        t = at[:, None] + np.cumsum(gaps, axis=1)
+        # Summed from the last point on, one by one: a point's time doesn't depend on how many are drawn at once.
+        t = np.cumsum(np.concatenate([at[:, None], gaps], axis=1), axis=1)[:, 1:]
         row, col = np.nonzero(t <= horizon)
         if len(row):
             with np.errstate(over="ignore"):
@@ -189,7 +190,14 @@ def signed(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) of keys whose weighted Jaccard similarity reaches the bound. Hot leaders are split as skewed joins."""
+    """pairs (a, b) of keys whose weighted Jaccard similarity reaches the bound.
+
+    Hot leaders, fewer than 1000, are salted: such a leader's text is copied to as many salts as its pairs fill parts of
+    HOT of all pairs, fewer than 2000 copies in all.
+    """
+    total = pairs.count()
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT * total)
+    hot = written(hot.select("a", F.ceil(F.col("n") / max(1.0, HOT * total)).cast("int").alias("salts")), "hot")
 
     @F.pandas_udf("double")
     def overlap(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -204,8 +212,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 out.append(weighted_jaccard(bag, Counter(shingles(plain(y).decode(), words).tolist())))
             yield pd.Series(out, dtype="float64")
 
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("pack").alias("right")), "b")
-    both = both.join(texts.select(F.col("key").alias("a"), F.col("pack").alias("left")), "a")
+    salted = pairs.join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    lead = texts.select(F.col("key").alias("a"), F.col("pack").alias("left")).join(F.broadcast(hot), "a", "left")
+    lead = lead.select("a", "left", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = salted.join(texts.select(F.col("key").alias("b"), F.col("pack").alias("right")), "b").join(lead, ["a", "salt"])
     return both.select("a", "b", overlap("left", "right").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
@@ -259,41 +269,48 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for every node with a link; labels spread and jump until stable."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
+    degrees = written(both.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("a").alias("least")), "degrees")
+    ends = both.count()
+    nodes = degrees.count()
+    labels = degrees.select("node", "degree", F.least("node", "least").alias("comp"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp")), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("best"))
-        hop = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("best", "comp")).alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        step = written(hop.join(jump, "to", "left").select("node", "comp", F.least("to", F.coalesce("far", "to")).alias("new")), "labels")
-        labels = step.select("node", F.col("new").alias("comp"))
+        near = hot_join(both.withColumnRenamed("b", "node"), labels, "node", "degree", ends).groupBy("a").agg(F.min("comp").alias("best"))
+        hop = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "degree", "comp", F.least("comp", F.coalesce("best", "comp")).alias("to"))
+        hop = written(hop, "hops")
+        named = hop.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("node").alias("to"), F.col("comp").alias("far")), "to")
+        step = written(hot_join(hop, written(named, "named"), "to", "n", nodes).select("node", "degree", "comp", F.least("to", "far").alias("new")), "labels")
+        labels = step.select("node", "degree", F.col("new").alias("comp"))
         if not step.filter("new != comp").limit(1).count():
-            return labels
+            return labels.select("node", "comp")
 
 
 def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(classes, links): node and comp of every text that is linked to a different text; links (a, b, similarity).
 
-    Inside, nodes go by their keys, which are half as long and pack better; texts move packed.
+    Inside, nodes go by their keys, which are half as long and pack better; texts move packed. Members of hot buckets
+    stay where they are: what is known of such a bucket is broadcast to them.
     """
     signs = signed(docs, text_col, bands, rows)
     names = signs.select("key", "node")
-    members = signs.select("key", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(members.join(sizes, "bucket"), "members")
+    single = signs.select("key", F.explode("buckets").alias("bucket"))
+    sizes = written(single.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    members = written(hot_join(single, sizes, "bucket", "n", signs.count() * bands), "members")
+    total = members.count()
     met = written(members.groupBy("key").agg(F.sum("n").alias("met")), "met")
     texts = docs.select(_node(F.col(text_col)).alias("node"), _packed(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("pack"))
     texts = written(texts.join(names.join(met.select("key"), "key"), "node").dropDuplicates(["node"]).select("key", "pack"), "texts")
-    leaders = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("a"))
-    pairs = written(members.join(leaders, "bucket").filter("key != a").select("a", F.col("key").alias("b")).distinct(), "pairs")
+    leaders = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("a"), F.count(F.lit(1)).alias("size"))
+    pairs = hot_join(members, written(leaders, "leaders"), "bucket", "size", total).filter("key != a")
+    pairs = written(pairs.select("a", F.col("key").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, texts, similarity), "links")
     comps = components(links)
     # Buckets that still hold several classes: their texts are joined exactly, by prefixes, across classes alone.
     held = members.select("bucket", "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-    rest = held.join(mixed, "bucket", "left_semi").select("key", "comp").distinct()
+    mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
+    rest = hot_join(held, written(mixed.select("bucket", "size"), "mixed"), "bucket", "size", total).select("key", "comp").distinct()
     across = prefix_pairs(texts.join(rest, "key"), similarity)
     across = across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(across, texts, similarity), "links")
+    more = written(_verified(written(across, "across"), texts, similarity), "links")
     every = links.unionByName(more)
     if more.limit(1).count():
         comps = components(every)
@@ -302,6 +319,16 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     return named(owned.withColumnRenamed("node", "own"), "comp").withColumnRenamed("own", "node"), named(named(every, "a"), "b")
 
 
+def _leads(ids: DataFrame, comps: DataFrame) -> DataFrame:
+    """One row per node of ids (id, node, row): n rows, and of its class the leader's id, node and row, and its size."""
+    nodes = ids.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"))
+    owned = written(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "owned")
+    lead = F.min(F.struct("first.no", "first.id", "node", "first.row")).alias("lead")
+    classes = owned.groupBy("comp").agg(lead, F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("nodes"))
+    joined = hot_join(owned.select("node", "n", "comp"), written(classes, "classes"), "comp", "nodes", owned.count())
+    return joined.select("node", "n", "class_size", F.col("lead.id").alias("class_id"), F.col("lead.node").alias("lead"), F.col("lead.row").alias("winner"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: id_col, class_id, class_size, kept.
 
@@ -309,33 +336,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if several have it. Equal texts (null counts as empty) are one node,
     whatever their number, and null ids never name a class unless it has no other. Texts without words form a class of
     equal texts each; texts under five words are near copies only of texts with the same words. Empty tables give no rows.
+    Other columns play no part.
     """
     comps, _ = near_classes(docs, text_col, **how)
-    rows = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    owned = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = Window.partitionBy("comp")
-    lead = owned.select(
-        "node", F.min("id").over(per).alias("class_id"), F.sum("n").over(per).alias("class_size"),
-        F.min(F.struct(F.col("id").isNull(), "id", "node")).over(per)["node"].alias("lead"),
-    )
-    out = rows.join(lead, "node")
-    best = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("lead"))
-    first = Window.partitionBy("id", "node", best).orderBy(F.lit(1))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (best & (F.row_number().over(first) == 1)).alias("kept"))
+    ids = written(docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), F.monotonically_increasing_id().alias("row")), "ids")
+    out = hot_join(ids, written(_leads(ids, comps), "leads"), "node", "n", ids.count())
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("winner")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each class the one with the smallest id."""
+    """The rows of docs that stay, with all their columns: of each class the one with the smallest id.
+
+    Null and empty texts, null ids, repeated rows and empty tables count as in near_duplicates.
+    """
     comps, _ = near_classes(docs, text_col, **how)
-    named = docs.select(F.col(id_col).alias("_id"), _node(F.col(text_col)).alias("_node"))
-    nodes = named.groupBy("_node").agg(F.min("_id").alias("_id"))
-    owned = nodes.join(comps.select(F.col("node").alias("_node"), "comp"), "_node", "left").withColumn("comp", F.coalesce("comp", "_node"))
-    best = owned.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id"), F.col("_node"))).alias("_b")).select("_b._id", "_b._node")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    whole = docs.select(F.struct(*rest).alias("_r"), _packed(F.col(text_col).cast("binary")).alias("_t"), F.col(id_col).alias("_i"), _node(F.col(text_col)).alias("_n"))
-    # Row by row most nodes are their own class, so the join keeps what a class's leader names, and ties keep one.
-    one = Window.partitionBy("_n", "_i").orderBy(F.lit(1))
-    kept = whole.join(best, (F.col("_n") == F.col("_node")) & F.col("_i").eqNullSafe(F.col("_id")), "left_semi")
-    back = {text_col: _unpacked("_t").cast("string").alias(text_col)}
-    return kept.withColumn("_k", F.row_number().over(one)).filter("_k = 1").select(*[back.get(c, F.col(f"_r.`{c}`")) for c in docs.columns])
+    ids = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), F.lit(0).alias("row"))
+    best = _leads(ids, comps).filter("node = lead").select("node", F.col("class_id").alias("id"))
+    others = [c for c in docs.columns if c != text_col]
+    whole = docs.select(row_of(others), _packed(F.col(text_col).cast("binary")).alias("text"), F.col(id_col).alias("i"), _node(F.col(text_col)).alias("n"))
+    # Of rows that are equal in id and text, one stays: a rank that each task begins before anything moves.
+    one = F.row_number().over(Window.partitionBy("n", "i").orderBy(F.lit(1)))
+    kept = whole.join(best, (F.col("n") == F.col("node")) & F.col("i").eqNullSafe(F.col("id")), "left_semi").withColumn("k", one).filter("k = 1")
+    place = dict(zip(others, unpacked(others)))
+    return kept.select(*[place.get(c, _unpacked("text").cast("string").alias(c)) for c in docs.columns])
