@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut at white space into byte sequences (at most ``PIECE`` bytes each), every sequence runs between two space
-bytes, and the network gives every position a distribution over languages. A document's distribution is the mean over all
-of its positions. Equal sequences get equal results, so each is run once and remembered. Training is plain numpy:
-backpropagation through time with Adam, from a fixed seed.
+A text is one sequence of bytes, white space and all. It runs in stretches of ``STRETCH`` positions; each direction starts
+``LEAD`` positions before its stretch on the text's own bytes, so a position sees its neighbours across words and across
+stretches. At every position the network gives a distribution over languages; a document's distribution is the mean over
+all of its positions. One gate per unit decides how much of the state a candidate replaces; both are squashed by
+x / (1 + |x|). Training is plain numpy: backpropagation through time with Adam, from a fixed seed, on windows that Spark
+cuts from the drawn texts.
 """
 
 from __future__ import annotations
@@ -12,67 +14,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds on what is learned from: labelled documents, and distinct (word, language) rows of these.
-MAX_DOCUMENTS, MAX_WORDS = 3000, 30_000
-HIDDEN, PIECE, _CACHED = 16, 40, 300_000
-_SPACE = 32
+from .common import passing, row_of, slices, unpacked
 
+#: Bounds on what is learned from: documents, of every language alike, and windows of their texts, in characters.
+MAX_DOCUMENTS, MAX_WINDOWS, WINDOW = 3000, 12_000, 80
+HIDDEN, STRETCH, LEAD = 12, 256, 32
+#: Stretches that run at one time, and bytes of text whose stretches are gathered.
+_ROWS, _SLICE = 1024, 1 << 20
+_PAD = 0
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
-
-class Gru:
-    """One direction: gates z and r and the candidate n, with input weights looked up by byte."""
+class Gated:
+    """One direction. Of w[byte] + u h + b, the first half makes the gate g, the second the candidate n; h += g (n - h)."""
 
     def __init__(self, hidden: int, rng: np.random.Generator) -> None:
         self.h = hidden
-        self.w = rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
-        self.u = rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32)
-        self.b = np.zeros(3 * hidden, np.float32)
-
-    def forward(self, x: np.ndarray, mask: np.ndarray | None, trace: list | None = None) -> np.ndarray:
-        """States of shape (steps, rows, hidden) for bytes of shape (steps, rows); masked steps keep the state."""
-        steps, rows = x.shape
-        h, hid = np.zeros((rows, self.h), np.float32), self.h
-        out = np.empty((steps, rows, hid), np.float32)
-        table = self.w + self.b
+        self.w = rng.normal(0, 0.3, (2 * hidden, 256)).astype(np.float32)
+        self.u = rng.normal(0, hidden**-0.5, (2 * hidden, hidden)).astype(np.float32)
+        self.b = np.zeros((2 * hidden, 1), np.float32)
+
+    def forward(self, x: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """States (steps, hidden, rows) for bytes (steps, rows). trace gets what backward needs of every step."""
+        (steps, rows), k = x.shape, self.h
+        table, u = self.w + self.b, self.u
+        h, out = np.zeros((k, rows), table.dtype), np.empty((steps, k, rows), table.dtype)
+        a, m = np.empty((2 * k, rows), table.dtype), np.empty((2 * k, rows), table.dtype)
         for t in range(steps):
-            a, q = table[x[t]], h @ self.u
-            g = _sigmoid(a[:, : 2 * hid] + q[:, : 2 * hid])
-            z, r = g[:, :hid], g[:, hid:]
-            n = np.tanh(a[:, 2 * hid :] + r * q[:, 2 * hid :])
-            new = n + z * (h - n)
-            if mask is not None:
-                new = np.where(mask[t], new, h)
+            np.take(table, x[t], axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=m)
+            a += m
+            np.abs(a, out=m)
+            m += 1
+            a /= m
             if trace is not None:
-                trace.append((h, z, r, n, q[:, 2 * hid :]))
-            out[t] = h = new
+                trace.append((h, a.copy(), m.copy()))
+            g, n = a[:k], a[k:]
+            g += 1
+            g *= 0.5
+            n -= h
+            n *= g
+            np.add(h, n, out=out[t])
+            h = out[t]
         return out
 
-    def backward(self, x: np.ndarray, mask: np.ndarray, trace: list, dout: np.ndarray) -> list[np.ndarray]:
-        hid = self.h
-        dw, du, db = np.zeros_like(self.w), np.zeros_like(self.u), np.zeros_like(self.b)
-        carry = np.zeros((x.shape[1], hid), np.float32)
+    def backward(self, x: np.ndarray, trace: list, dout: np.ndarray) -> list[np.ndarray]:
+        k, du = self.h, np.zeros_like(self.u)
+        every = np.empty((2 * k, *x.shape), dout.dtype)
+        carry = np.zeros(dout.shape[1:], dout.dtype)
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, qn = trace[t]
-            m = mask[t]
+            h, a, m = trace[t]
+            g, n = 0.5 * (a[:k] + 1), a[k:]
             d = carry + dout[t]
-            inner = d * m
-            dn = inner * (1 - z) * (1 - n * n)
-            dz = inner * (h - n) * z * (1 - z)
-            dr = dn * qn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            dq = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(dw, x[t], da)
-            du += h.T @ dq
-            db += da.sum(0)
-            carry = d * (1 - m) + inner * z + dq @ self.u.T
-        return [dw, du, db]
+            da = every[:, t]
+            np.multiply(d, 0.5 * (n - h), out=da[:k])
+            np.multiply(d, g, out=da[k:])
+            da /= m * m
+            du += da @ h.T
+            carry = d * (1 - g) + self.u.T @ da
+        flat, at = every.reshape(2 * k, -1), x.reshape(-1)
+        dw = np.stack([np.bincount(at, row, 256) for row in flat]).astype(self.w.dtype)
+        return [dw, du, flat.sum(1, keepdims=True)]
 
 
 class Tagger:
@@ -81,64 +86,74 @@ class Tagger:
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.languages = languages
-        self.ahead, self.back = Gru(hidden, rng), Gru(hidden, rng)
-        self.v = rng.normal(0, 0.2, (2 * hidden, len(languages))).astype(np.float32)
-        self.c = np.zeros(len(languages), np.float32)
+        self.ahead, self.back = Gated(hidden, rng), Gated(hidden, rng)
+        self.v = rng.normal(0, 0.2, (len(languages), 2 * hidden)).astype(np.float32)
+        self.c = np.zeros((len(languages), 1), np.float32)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.w, self.ahead.u, self.ahead.b, self.back.w, self.back.u, self.back.b, self.v, self.c]
 
-    def _soft(self, hidden: np.ndarray) -> np.ndarray:
-        s = hidden @ self.v + self.c
-        s = np.exp(s - s.max(axis=-1, keepdims=True))
-        return s / s.sum(axis=-1, keepdims=True)
-
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Distributions at all positions of equally long sequences: (steps, rows) to (steps, rows, languages)."""
-        both = np.concatenate([self.ahead.forward(x, None), self.back.forward(x[::-1], None)[::-1]], axis=2)
-        return self._soft(both)
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross-entropy over positions, and its gradient by backpropagation through time."""
+    def _soft(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        k = self.ahead.h
+        s = np.matmul(self.v[:, :k], ahead)
+        s += np.matmul(self.v[:, k:], back)
+        s += self.c
+        s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=1, keepdims=True)
+        return s
+
+    def positions(self, x: np.ndarray, lead: int = 0) -> np.ndarray:
+        """Distributions at the positions of equally long sequences: (steps, rows) to (steps, languages, rows).
+
+        The first and last lead positions only lead in: a direction begins with those that lie before it.
+        """
+        n = len(x) - lead
+        return self._soft(self.ahead.forward(x[:n])[lead:], self.back.forward(x[lead:][::-1])[lead:][::-1])
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy over weighted positions (steps, rows), and its gradient by backpropagation through time."""
         ta: list = []
         tb: list = []
-        m3 = mask[:, :, None]
-        both = np.concatenate([self.ahead.forward(x, m3, ta), self.back.forward(x[::-1], m3[::-1], tb)[::-1]], axis=2)
-        p = self._soft(both)
-        w = mask * weight
-        rows = np.arange(x.shape[1])
-        loss = float(-(np.log(p[:, rows, y] + 1e-9) * w).sum() / w.sum())
+        one, two = self.ahead.forward(x, ta), self.back.forward(x[::-1], tb)[::-1]
+        p = self._soft(one, two)
+        rows, k = np.arange(x.shape[1]), self.ahead.h
+        w = weight / weight.sum()
+        loss = float(-(np.log(p[:, y, rows] + 1e-9) * w).sum())
         d = p.copy()
-        d[:, rows, y] -= 1
-        d *= (w / w.sum())[:, :, None]
-        h = both.shape[2] // 2
-        back = d @ self.v.T
-        mf = m3.astype(np.float32)
-        ga = self.ahead.backward(x, mf, ta, back[:, :, :h])
-        gb = self.back.backward(x[::-1], mf[::-1], tb, back[::-1, :, h:])
-        return loss, [*ga, *gb, both.reshape(-1, 2 * h).T @ d.reshape(-1, d.shape[2]), d.sum((0, 1))]
-
-
-def train(samples: list[tuple[str, str, int]], hidden: int = HIDDEN, steps: int = 500, batch: int = 256, seed: int = 5) -> Tagger:
-    """A tagger from (word, language, count) rows; frequent words are drawn more often. Equal input gives an equal model."""
+        d[:, y, rows] -= 1
+        d *= w[:, None, :]
+        ga = self.ahead.backward(x, ta, np.matmul(self.v[:, :k].T, d))
+        gb = self.back.backward(x[::-1], tb, np.matmul(self.v[:, k:].T, d)[::-1])
+        flat = lambda z: z.transpose(1, 0, 2).reshape(z.shape[1], -1)
+        dv = np.concatenate([flat(d) @ flat(one).T, flat(d) @ flat(two).T], axis=1)
+        return loss, [*ga, *gb, dv, d.sum((0, 2))[:, None]]
+
+
+def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = 600, batch: int = 128, seed: int = 5, long: int = WINDOW) -> Tagger:
+    """A tagger from (bytes, language) rows, every language drawn alike. Equal input gives an equal model.
+
+    A draw is up to ``long`` bytes of a sample; padding, which isn't learned to be tagged, stands around those that are
+    shorter, and half of the draws are made shorter, so that beginnings and ends of texts are known.
+    """
     languages = sorted({x[1] for x in samples})
     model = Tagger(languages, hidden, seed)
     rng = np.random.default_rng(seed)
-    words = [np.frombuffer(b" " + w.encode()[:PIECE] + b" ", np.uint8) for w, _, _ in samples]
-    ys = np.array([languages.index(x[1]) for x in samples])
-    draw = np.sqrt(np.array([x[2] for x in samples], float))
-    share = np.bincount(ys, draw, len(languages))
-    draw = draw / share[ys] / len(languages)  # every language is drawn alike
+    texts = [np.frombuffer(t, np.uint8) for t, _ in samples]
+    ys = np.array([languages.index(y) for _, y in samples])
+    draw = 1 / np.bincount(ys, minlength=len(languages))[ys] / len(languages)
     params = model.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        pick = rng.choice(len(words), batch, p=draw / draw.sum())
-        long = max(len(words[i]) for i in pick)
-        x, mask = np.full((long, batch), _SPACE, np.int64), np.zeros((long, batch), bool)
+        pick = rng.choice(len(texts), batch, p=draw / draw.sum())
+        x, weight = np.full((long, batch), _PAD, np.int64), np.zeros((long, batch), np.float32)
         for k, i in enumerate(pick):
-            x[: len(words[i]), k], mask[: len(words[i]), k] = words[i], True
-        _, grads = model.gradients(x, mask, ys[pick], np.ones(batch, np.float32))
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+            n = min(long, len(texts[i]))
+            n = n if k % 2 else int(rng.integers(min(n, 8), n + 1))
+            at, to = rng.integers(0, len(texts[i]) - n + 1), rng.integers(0, long - n + 1)
+            x[to : to + n, k], weight[to : to + n, k] = texts[i][at : at + n], 1
+        _, grads = model.gradients(x, ys[pick], weight)
+        rate = 0.03 * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(params, grads, first, second):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -146,75 +161,64 @@ def train(samples: list[tuple[str, str, int]], hidden: int = HIDDEN, steps: int
     return model
 
 
-class Predictor:
-    """Sums of distributions of every piece met so far, as rows of one array."""
-
-    def __init__(self, model: Tagger) -> None:
-        self.model = model
-        self._new()
-
-    def _new(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(self.model.languages) + 1))
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        by_length: dict[int, list[bytes]] = {}
-        for w in fresh:
-            by_length.setdefault(len(w), []).append(w)
-        for n, own in by_length.items():
-            for k in range(0, len(own), 4096):
-                part = own[k : k + 4096]
-                x = np.full((n + 2, len(part)), _SPACE, np.int64)
-                x[1:-1] = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), n).T
-                p = self.model.positions(x)[1:-1].sum(axis=0)
-                at = len(self.rows)
-                while at + len(part) > len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                self.sums[at : at + len(part), :-1] = p
-                self.sums[at : at + len(part), -1] = n
-                self.rows.update((w, at + i) for i, w in enumerate(part))
-
-    def predict(self, texts: list[bytes]) -> list[tuple[str | None, float]]:
-        """Language and its probability; None for a text without a byte beyond white space."""
-        if len(self.rows) > _CACHED:
-            self._new()
-        cut = []
-        for t in texts:
-            ws = t.split()
-            if ws and max(map(len, ws)) > PIECE:
-                ws = [w[k : k + PIECE] for w in ws for k in range(0, len(w), PIECE)]
-            cut.append(ws)
-        rows = self.rows
-        self._learn([w for w in {w for ws in cut for w in ws} if w not in rows])
-        out: list[tuple[str | None, float]] = []
-        for ws in cut:
-            if not ws:
-                out.append((None, 0.0))
-                continue
-            total = self.sums[np.fromiter(map(rows.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-            p = total[:-1] / total[-1]
-            k = int(p.argmax())
-            out.append((self.model.languages[k], float(min(1.0, p[k]))))
-        return out
+def predict(model: Tagger, texts: list[bytes]) -> list[tuple[str | None, float]]:
+    """Language and mean probability over all positions; None for an empty text. Before and after a text are padding bytes."""
+    size = np.array([len(t) for t in texts], np.int64)
+    parts = -(-size // STRETCH)
+    total = np.zeros((len(model.languages), len(texts)))
+    pad = bytes([_PAD])
+    data = np.frombuffer(b"".join([pad * LEAD + t + pad * (LEAD + STRETCH) for t in texts]), np.uint8)
+    base = np.concatenate([[0], np.cumsum(size + 2 * LEAD + STRETCH)])[:-1]
+    doc = np.repeat(np.arange(len(texts)), parts)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, reach = base[doc] + nth * STRETCH, np.minimum(STRETCH, size[doc] - nth * STRETCH)
+    order = np.argsort(reach, kind="stable")  # the last stretches of short texts run together, no further than they reach
+    for k in range(0, len(order), _ROWS):
+        own = order[k : k + _ROWS]
+        long = int(reach[own].max())
+        x = data[starts[own][None, :] + np.arange(long + 2 * LEAD)[:, None]]
+        p = model.positions(x, LEAD)
+        seen = np.arange(long)[:, None] < reach[own][None, :]
+        if not seen.all():
+            p *= seen[:, None, :]
+        np.add.at(total.T, doc[own], p.sum(axis=0, dtype=np.float64).T)
+    out: list[tuple[str | None, float]] = []
+    for i, n in enumerate(size.tolist()):
+        best = int(total[:, i].argmax()) if n else -1
+        out.append((model.languages[best], float(min(1.0, total[best, i] / n))) if n else (None, 0.0))
+    return out
 
 
 def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_documents: int = MAX_DOCUMENTS, max_words: int = MAX_WORDS) -> Tagger | None:
-    """A tagger from labelled documents that aren't held out, and their max_words most frequent words.
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_documents: int = MAX_DOCUMENTS, max_windows: int = MAX_WINDOWS
+) -> Tagger | None:
+    """A tagger from labelled documents that aren't held out: windows of WINDOW characters from anywhere in their texts.
 
-    Ids are drawn first, at most max_documents of them, and their texts (all, if an id repeats) looked up by a broadcast
-    of that size, so no task gathers texts. Rows without an id are not learned from.
+    Every language may give the same number of documents, those with the smallest hashes of ids, and of windows, so rare
+    languages are learned too; max_documents and max_windows bound them over all languages, but a language always gives
+    one. Ids are drawn first and their texts (all, if an id repeats) looked up by a broadcast of that size. Texts are cut
+    into windows by Spark, which keeps the drawn ones. Rows without an id, text or label are not learned from.
     """
     ok = F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False))
     able = docs.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    drawn = able.select("i").orderBy(F.xxhash64("i"), "i").limit(max_documents)
-    some = able.join(F.broadcast(drawn), "i", "left_semi")
-    words = some.select("y", F.explode(F.split("t", r"\s+")).alias("w")).filter("w != ''").groupBy("w", "y").agg(F.count(F.lit(1)).alias("n"))
-    rows = words.orderBy(F.desc("n"), "w", "y").limit(max_words).collect()
-    return train([(r[0], r[1], r[2]) for r in rows]) if rows else None
+    languages = able.select("y").distinct().count()
+    if not languages:
+        return None
+
+    def drawn(df: DataFrame, most: int, *order) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("y").orderBy(*order))
+        return df.withColumn("k", rank).filter(F.col("k") <= max(1, most // languages)).drop("k")
+
+    some = able.join(F.broadcast(drawn(able.select("y", "i"), max_documents, F.xxhash64("i"), "i")), ["i", "y"], "left_semi")
+    places = F.sequence(F.lit(0), F.expr(f"(length(t) - 1) div {WINDOW}"))
+    cut = some.filter("length(t) > 0").select("y", "i", "t", F.explode(places).alias("at"))
+    cut = cut.select("y", F.xxhash64("i", "at").alias("h"), F.substring("t", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("t"))
+    rows = drawn(cut, max_windows, "h", "t").select("t", "y").collect()
+    return train(sorted((r.t.encode(), r.y) for r in rows))
 
 
 def identify(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -222,21 +226,20 @@ def identify(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text
 
     A null text, or one without a letter, is und with score 0, as is everything if there was nothing to learn from.
     A null id is not held out. Texts are used whole and rows are independent of each other: repeated rows get equal
-    results, an empty table none. A column of a clashing name is replaced.
+    results, an empty table none. A column of a clashing name is replaced. Stretches of 1 MB of text, or of one longer
+    text, are gathered at one time.
     """
-    names = ["held_out", "lang_pred", "score"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    keep = passing(docs.columns if keep is None else keep, ["held_out", "lang_pred", "score"])
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary"))
-    held = docs.select(text.alias("_t"), *[F.col(f"`{c}`") for c in keep], F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
+    held = docs.select(text.alias("t"), row_of(keep), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
     schema = T.StructType([*held.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model) if model else None
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = predictor.predict([t or b"" for t in texts]) if predictor else [(None, 0.0)] * len(texts)
+        for batch in (x for whole in batches for x in slices(whole, _SLICE)):
+            texts = [t or b"" for t in batch.column(0).to_pylist()]
+            found = predict(model, texts) if model else [(None, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([p or "und" for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names
             )
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(run, schema).select(*unpacked(keep), "held_out", "lang_pred", "score")

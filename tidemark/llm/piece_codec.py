@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import passing, row_of, slices, unpacked
+
 MARK = "▁"
 _CACHED, _LONGEST = 500_000, 48
 #: Bytes of text that are chunks and ids at one time; a longer text is a slice of its own.
@@ -230,36 +231,25 @@ class Encoder:
         return self.vocabulary.library.decode([np.frombuffer(b, "<u4").tolist() for b in ids], num_threads=1)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of whole texts, cut where another _SLICE bytes of its first column are full."""
-    sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
-    full = (np.cumsum(sizes) - sizes) // _SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode_documents(
     docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, with_text: bool = False, check: bool = True
 ) -> DataFrame:
     """docs (or its columns in keep) with n_tokens, ids_sha256, decoded_sha256 and, as asked, piece_ids and decoded.
 
     A null text counts as empty and has the begin and end ids only. Rows are independent of each other: repeated rows get
-    equal results, an empty table gives none, and other columns pass through; of a clashing name the new column replaces
-    the old one. Memory is bounded by an Arrow batch, chunks and ids of one slice of it, and the remembered chunks.
+    equal results, an empty table gives none, and other columns pass through; of a clashing name, in whatever case, the new
+    column replaces the old one. Memory is bounded by an Arrow batch, chunks and ids of one slice of it, and the remembered chunks.
     """
     keep = docs.columns if keep is None else keep
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     new += [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("decoded", T.StringType())] * with_text
-    names = {f.name for f in new}
-    keep = [c for c in keep if c not in names]
-    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([f for f in held.schema.fields if f.name != "_text"] + new)
+    keep = passing(keep, [f.name for f in new])
+    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), row_of(keep))
+    schema = T.StructType([held.schema["r"], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path, check)
-        for batch in (x for whole in batches for x in _slices(whole)):
+        for batch in (x for whole in batches for x in slices(whole, _SLICE)):
             ids = encoder.encode(batch.column(0).to_pylist())
             texts = encoder.decode(ids)
             made = [
@@ -274,4 +264,4 @@ def encode_documents(
                 made.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=schema.names)
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(run, schema).select(*unpacked(keep), *[f.name for f in new])

@@ -1,9 +1,10 @@
 """Personal data by weak supervision.
 
-Regular expressions propose spans. Labelers vote on each for (1), against (-1) or not at all (0): a strict form, a
-gazetteer of known endings and prefixes, the words before it, its borders and its length. Expectation-maximisation over
-the counts of vote patterns estimates how reliable each labeler is; the spans' posteriors then train a naive Bayes span
-classifier on features of the span and its neighbours, and the classifier decides which spans beyond the base are added.
+Three labelers propose spans: regular expressions, a gazetteer of known beginnings, and a context labeler that takes what
+follows a cue. Every labeler votes on every span for (1), against (-1) or not at all (0), whoever proposed it; so do
+labelers of its strict form, its borders and its length. Expectation-maximisation over the counts of vote patterns
+estimates how reliable each labeler is; the spans' posteriors then train a naive Bayes span classifier on features of the
+span and its neighbours, and the classifier decides, for every kind, which spans beyond the base are added.
 Base spans, which a contract fixes, always stay.
 """
 
@@ -16,35 +17,53 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import passing, row_of, written
 
 #: Order of kinds in results.
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("secret", "iban", "ssn")
-LABELERS = ("form", "gazetteer", "context", "border", "length")
+EXTRA = ("secret", "iban", "ssn", "person")
+LABELERS = ("form", "regex", "gazetteer", "context", "border", "length")
 
 
 @dataclass(frozen=True)
 class Kind:
+    """pattern proposes as the regex labeler; listed and cued, if any, as the gazetteer and the context labeler.
+
+    hint is a cheap condition for listed or cued to match at all. strict, known and cue make the votes on a span: its form,
+    its beginning or ending, and the words before it.
+    """
+
     name: str
     pattern: str
     strict: str
     known: str
     cue: str
     lengths: tuple[int, int]
+    listed: str = ""
+    cued: str = ""
+    hint: str = ""
 
 
 #: Possessive quantifiers keep Java's matcher from recursing; a look-behind lets a run be tried once, at its start.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
-         r"\.(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", "mail|contact|write|correo|kontakt", (6, 64)),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"^[A-Za-z0-9][A-Za-z0-9._%+-]*(@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9.-]+(\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z]{2,}$",
+         r"\.(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", "mail|contact|write|correo|kontakt", (6, 64),
+         listed=r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z]{2,24}+)+", hint=r"[(\[](?i:at)[)\]]"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"^([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})(\.([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})){3}$", r"^(10|127|172|192)\.", "ip|host|server|address|addr", (7, 15)),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$", r"^(4|5[1-5]|3[47]|6)", "card|visa|credit|karte|tarjeta|carte", (15, 19)),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$", r"^\+(1|33|34|44|49)\b", "phone|call|tel|mobile|fax", (11, 20)),
-    Kind("secret", r"AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{8,}+\"?", r"^AKIA[0-9A-Z]{16}$|[0-9]", r"^(AKIA|(?i:password=|token = \"))", "key|secret|login", (16, 80)),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7,}$", r"^(DE|FR|ES|GB|IT|NL|CH|AT|BE)", "iban|account|konto|cuenta|bank", (15, 34)),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[0-6]", "ssn|social|security", (11, 11)),
-)
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$", r"^\+(1|33|34|44|49)\b", "phone|call|tel|mobile|fax", (10, 20),
+         cued=r"(?<=(?i:phone|telephone|tel|call|mobile|fax|handy)[.:]{0,2}\x20{0,2})(?:\([0-9]{2,4}\)|[0-9]{2,5})(?:[\x20.-]?[0-9]{2,4}){2,4}+(?![0-9])", hint="(?i:phone|tel|call|mobile|fax|handy)[.:\x20]{0,4}[(0-9]"),
+    Kind("secret", r"(?i:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{8,}+\"?", r"[0-9]", r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza|(?i:password=|token = \"))", "key|secret|login", (16, 80),
+         listed=r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|(?<![A-Za-z0-9_-])(?:gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]{16,200}+",
+         cued=r"(?<=(?i:pwd|credential|credentials|passwort|clave|access_key|private_key|auth)\x20?[=:]\x20?\"?)[A-Za-z0-9_/+-]{8,200}+", hint=r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza|(?i:pwd|credential|passwort|clave|_key|auth)"),
+    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+", r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}[ 0-9]{7,}$", r"^(DE|FR|ES|GB|IT|NL|CH|AT|BE)", "iban|account|konto|cuenta|bank", (15, 42),
+         cued=r"(?<=(?i:iban)[:\x20]{0,3})[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?(?![A-Z0-9])", hint="(?i:iban)"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-?(?!00)[0-9]{2}-?(?!0000)[0-9]{4}$", r"^[0-6]", "ssn|social|security", (9, 11),
+         cued=r"(?<=(?i:ssn|social security|social security number)[:#\x20]{0,3})[0-9]{9}(?![0-9])", hint="(?i:ssn|social security)"),
+    Kind("person", r"(?<=(?i:my name is|signed by|mein name ist|me llamo|je m'appelle)\x20)\p{Lu}\p{Ll}{1,20}+(?:\x20\p{Lu}\p{Ll}{1,20}+){1,3}", r"^((Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?)\.? )?\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+){0,3}$",
+         r"^(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?)\b", "name|signed|contact|dear|appelle|llamo", (5, 80),
+         listed=r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?)\.?\x20\p{Lu}\p{Ll}{1,20}+(?:\x20\p{Lu}\p{Ll}{1,20}+){0,2}", hint=r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?)\.?\x20"),
+)
 REACH = 40
 
 
@@ -62,14 +81,16 @@ def _may(kind: str, t: Column) -> Column:
     if kind == "ssn":
         return has("-")[0] & t.rlike("[0-9]-[0-9]{2}-[0-9]")
     if kind == "secret":
-        return t.rlike("AKIA|(?i:password|passwd|secret|token|api_key)")
+        return t.rlike("(?i:password|passwd|secret|token|api_key)")
+    if kind == "person":
+        return t.rlike("(?i:name is|signed by|name ist|me llamo|je m'appelle)")
     return t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")
 
 
-def _spans(kind: Kind, t: Column) -> Column:
+def _spans(pattern: str, t: Column) -> Column:
     """Leftmost non-overlapping matches with start and end in code points: what stands between them gives the places."""
-    found = F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(t, kind.pattern, -1)
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    gaps = F.split(t, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -102,43 +123,60 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(kind in BASE)
 
 
+_SPANS, _CANDIDATES = "array<struct<s:int,e:int,v:string>>", "array<struct<order:int,kind:string,start:int,end:int,base:boolean,votes:string,features:array<string>>>"
+
+
+def _proposed(kind: Kind, t: Column) -> Column:
+    """Spans of the regex labeler, and of the others those that don't overlap one: array of (span, whether by regex)."""
+    none = F.array().cast(_SPANS)
+    mine = F.when(_may(kind.name, t), _spans(kind.pattern, t)).otherwise(none)
+    by = lambda spans, regex: F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(regex).alias("regex")))
+    more = "|".join(x for x in (kind.listed, kind.cued) if x)
+    if not more:
+        return by(mine, True)
+    theirs = F.when(t.rlike(kind.hint), _spans(more, t)).otherwise(none)
+    free = F.filter(theirs, lambda x: ~F.exists(mine, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    return F.concat(by(mine, True), by(free, False))
+
+
 def _described(kind: Kind, order: int, t: Column) -> Column:
     """Candidates of a kind: place, whether base, one vote per labeler, features of the classifier."""
 
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, "+").when(no, "-").otherwise("0")
 
-    def one(x: Column) -> Column:
+    def one(p: Column) -> Column:
+        x = p["x"]
         v = x["v"]
         before = F.substring(t, F.greatest(F.lit(1), x["s"] - (REACH - 1)), F.least(x["s"], F.lit(REACH)))
         left, right = F.right(before, F.lit(1)), F.substring(t, x["e"] + 1, F.lit(1))
-        strict, known = v.rlike(kind.strict), v.rlike(kind.known)
+        base = p["regex"] & _valid(kind.name, v)
+        strict, known = v.rlike(kind.strict) & (base if kind.name in BASE else F.lit(True) | base), v.rlike(kind.known)
         near = F.lower(before).rlike(kind.cue)
         loose = ~left.rlike(r"[\p{L}\p{N}]") & ~right.rlike(r"[\p{L}\p{N}]")
         long = F.length(v).between(*kind.lengths)
         digits = F.length(F.regexp_replace(v, "[^0-9]", "")) * 4 / F.length(v)
-        votes = F.concat(vote(strict, ~strict), vote(known, F.lit(False)), vote(near, F.lit(False)), vote(loose, ~loose), vote(long, ~long))
+        votes = F.concat(vote(strict, ~strict), vote(p["regex"], F.lit(False)), vote(known, F.lit(False)), vote(near, F.lit(False)), vote(loose, ~loose), vote(long, ~long))
         side = lambda c: F.when(c == "", "edge").when(c.rlike(r"\s"), "space").when(c.rlike(r"[\p{L}\p{N}]"), "word").otherwise("mark")
         features = F.array(
-            F.lit("kind=" + kind.name), F.concat(F.lit(kind.name + ":len="), (F.length(v) / 4).cast("int").cast("string")),
+            F.lit("kind=" + kind.name), F.concat(F.lit(kind.name + ":len="), F.least(F.lit(24), (F.length(v) / 4).cast("int")).cast("string")), F.concat(F.lit(kind.name + ":form="), vote(strict, ~strict)),
             F.concat(F.lit(kind.name + ":digits="), digits.cast("int").cast("string")), F.concat(F.lit("left="), side(left)), F.concat(F.lit("right="), side(right)),
         )
         return F.struct(
-            F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), _valid(kind.name, v).alias("base"), votes.alias("votes"), features.alias("features")
+            F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), base.alias("base"), votes.alias("votes"), features.alias("features")
         )
 
-    return F.transform(_spans(kind, t), one)
+    return F.transform(_proposed(kind, t), one)
 
 
-_CANDIDATES = "array<struct<order:int,kind:string,start:int,end:int,base:boolean,votes:string,features:array<string>>>"
+#: Features of a candidate; values are kinds, marks and capped numbers, so there is a bounded number of them.
+FEATURES = 6
 
 
 def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """_r (the columns in keep) and _c: every proposed span; matches that fail a base test are proposals, not base spans."""
-    none = F.array().cast(_CANDIDATES)
-    t = F.col("_t")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_r"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return rows.select("_r", F.concat(*[F.when(_may(k.name, t), _described(k, i, t)).otherwise(none) for i, k in enumerate(KINDS)]).alias("_c"))
+    """r (the columns in keep) and c: every proposed span; matches that fail a base test are proposals, not base spans."""
+    rows = docs.select(row_of(keep), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.select("r", F.concat(*[_described(k, i, F.col("t")).cast(_CANDIDATES) for i, k in enumerate(KINDS)]).alias("c"))
 
 
 def fit_labelers(patterns: Iterable[tuple[str, int]], rounds: int = 30) -> tuple[dict[str, float], list[dict[str, tuple[float, float]]], float]:
@@ -169,37 +207,44 @@ def fit_labelers(patterns: Iterable[tuple[str, int]], rounds: int = 30) -> tuple
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, sure: float = 0.9) -> DataFrame:
-    """docs (or its columns in keep) with _p: spans (order, kind, start, end, base), by start and then kind.
+    """docs (or its columns in keep) with _p: spans (start, order, kind, end, base), by start and then kind.
 
     Texts are scanned once; null and empty texts have no spans. Spans of different kinds may overlap, those of one kind
-    don't. Repeated rows get equal results; a corpus without candidates needs no model. What the models are fitted from
-    are counts over all candidates of the corpus, at most one row per vote pattern and per feature value.
+    don't. Repeated rows get equal results; a corpus without candidates needs no model. A column _p of docs, in whatever
+    case, is replaced. What the models are fitted from are counts over all candidates of the corpus, at most one row per
+    vote pattern and per feature value.
     """
-    keep = docs.columns if keep is None else keep
+    keep = passing(docs.columns if keep is None else keep, ["_p"])
     found = written(candidates(docs, text_col, keep), "spans")
-    spans = found.select(F.explode("_c").alias("c"))
-    post, _, prior = fit_labelers([(r[0], r[1]) for r in spans.groupBy("c.votes").count().collect()])
-    base = F.col("c")["base"]
+    spans = found.select(F.explode("c").alias("c"))
+    post, _, _ = fit_labelers([(r[0], r[1]) for r in spans.groupBy("c.votes").count().collect()])
     if post:
-        believed = F.element_at(F.create_map(*[F.lit(x) for kv in post.items() for x in kv]), F.col("c.votes"))
+        believed = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(post.items()) for x in kv]), F.col("c.votes"))
         sums = spans.select(believed.alias("p"), F.explode("c.features").alias("f")).groupBy("f").agg(F.sum(F.lit(1) - F.col("p")), F.sum("p")).collect()
-        no, yes = sum(r[1] for r in sums) / 5 + 1, sum(r[2] for r in sums) / 5 + 1
-        weigh = {r[0]: math.log((r[2] + 1) / (yes + 1)) - math.log((r[1] + 1) / (no + 1)) for r in sums}
-        weights = F.create_map(*[F.lit(x) for kv in weigh.items() for x in kv])
-        start = math.log(yes / no)
+        weigh, start = fit_classifier(sorted((r[0], r[1], r[2]) for r in sums))
+        weights = F.create_map(*[F.lit(x) for kv in sorted(weigh.items()) for x in kv])
         score = lambda c: F.aggregate(c["features"], F.lit(start), lambda a, f: a + F.coalesce(F.element_at(weights, f), F.lit(0.0)))
-        taken = F.filter("_c", lambda c: c["base"] | ((c["order"] >= len(BASE)) & (score(c) >= math.log(sure / (1 - sure)))))
+        taken = F.filter("c", lambda c: c["base"] | (score(c) >= math.log(sure / (1 - sure))))
     else:
-        taken = F.col("_c")
+        taken = F.col("c")
     plain = F.transform(taken, lambda c: F.struct(*[c[x].alias(x) for x in ("start", "order", "kind", "end", "base")]))
-    return found.select("_r.*", F.array_sort(plain).alias("_p"))
+    return found.select("r.*", F.array_sort(plain).alias("_p"))
+
+
+def fit_classifier(sums: list[tuple[str, float, float]]) -> tuple[dict[str, float], float]:
+    """Naive Bayes from (feature value, belief against, belief for): log ratio of every value, and of the classes.
+
+    A weight is rounded, so that the order in which beliefs were added up doesn't show.
+    """
+    no, yes = sum(r[1] for r in sums) / FEATURES + 1, sum(r[2] for r in sums) / FEATURES + 1
+    return {f: round(math.log((b + 1) / (yes + 1)) - math.log((a + 1) / (no + 1)), 6) for f, a, b in sums}, round(math.log(yes / no), 6)
 
 
 def pii_digest(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them), flagged (whether there is one)."""
     found = find_pii(docs, text_col, keep=list(keep))
     base = F.filter("_p", lambda p: p["base"])
     shown = lambda a: F.array_join(F.transform(a, lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter(base, lambda p: p["kind"] == k)).cast("long").alias(f"n_{k}")
-    counts = [of(k) for k in BASE]
-    return found.select(*keep, *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("_p")).alias("spans"))
+    n = F.size("_p").cast("long")
+    return found.select(*keep, *[of(k) for k in BASE], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("_p")).alias("spans"), n.alias("n_spans"), (n > 0).alias("flagged"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS
+from .common import WS, WS_CHARS, passing, row_of
 
 N = 4
 BUCKETS = 1 << 13
@@ -71,20 +71,20 @@ def llr_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_co
 
 
 def score_quality(
-    docs: DataFrame, table: list[float] | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame, table: list[float] | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "_q"
 ) -> DataFrame:
-    """docs (or its columns in keep) with a struct column _q: n_words, word_chars, n_symbols, n_dup_lines,
+    """docs (or its columns in keep) with a struct column out: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, llr, base_failed, kept.
 
     Null and empty texts have no words: all counts are 0, llr is null and base_failed holds (under 50 words).
     Without trusted n-grams (table None) llr is null and the base rules decide alone. Every row is decided by its own
-    text, so repeated rows get equal results, and other columns pass through untouched.
+    text, so repeated rows get equal results, an empty table gives none, and other columns pass through untouched; a
+    column of docs with that name, in whatever case, is replaced.
     """
     buckets = len(table) if table else BUCKETS
-    keep = docs.columns if keep is None else keep
-    held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_r")
-    one = docs.select(held, F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(
-        "_r", "t", _words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda s: F.btrim(s, F.lit(WS_CHARS)) != "").alias("lines")
+    keep = passing(docs.columns if keep is None else keep, [out])
+    one = docs.select(row_of(keep), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(
+        "r", "t", _words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda s: F.btrim(s, F.lit(WS_CHARS)) != "").alias("lines")
     )
     w = F.col("w")
     grams = F.when(
@@ -99,7 +99,7 @@ def score_quality(
     else:
         llr = F.lit(None).cast("double")
     two = one.select(
-        "_r",
+        "r",
         "w",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -133,10 +133,10 @@ def score_quality(
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True))
     return five.select(
-        "_r.*",
-        F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", kept.alias("kept")).alias("_q"),
+        "r.*",
+        F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", kept.alias("kept")).alias(out),
     )
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    return score_quality(docs, llr_table(docs, trusted_ids(labels)), threshold, keep=keep)
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None, out: str = "_q") -> DataFrame:
+    return score_quality(docs, llr_table(docs, trusted_ids(labels)), threshold, keep=keep, out=out)

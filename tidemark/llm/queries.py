@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, exact_dedup, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
@@ -25,7 +25,7 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    found = warc.read_warc(spark, path).filter("kind != 'gap'")
+    found = warc.whole(warc.read_warc(spark, path))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
@@ -50,15 +50,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with three edits: a heading from its source, a word in its middle, its language at its end."""
     import public_tokenizers
 
+    docs = table(spark, sf_dir, "documents").withColumn("edits", three_edits())
+    return token_tree.count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def three_edits() -> Column:
     size = F.length(F.coalesce(F.col("text"), F.lit("")))
     head = F.concat(F.coalesce(F.col("source"), F.lit("none")), F.lit(":\n"))
     mid = F.expr("length(coalesce(text, '')) div 2") + F.length(head)
     edit = lambda a, b, new: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), new.alias("new"))
     last = size + F.length(head) + 1000
-    docs = table(spark, sf_dir, "documents").withColumn(
-        "edits", F.array(edit(F.lit(0), F.lit(0), head), edit(mid, mid + 10, F.lit(" edited ")), edit(last, last, F.concat(F.lit("\n"), F.coalesce(F.col("lang"), F.lit("und")))))
-    )
-    return token_tree.count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+    return F.array(edit(F.lit(0), F.lit(0), head), edit(mid, mid + 10, F.lit(" edited ")), edit(last, last, F.concat(F.lit("\n"), F.coalesce(F.col("lang"), F.lit("und")))))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hexed: str) -> str:
+    """Base32 of 20 bytes in hex, in DuckDB: 5 hex digits are 4 symbols."""
+    part = lambda g: f"('0x' || substr({hexed}, {5 * g + 1}, 5))::INT"
+    return " || ".join(f"substr('{_B32}', (({part(g)} >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+            g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+            d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, first FROM p JOIN g USING (html))
+            SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest,
+                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to
+            FROM d""",
         "op6_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
             g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-The writer forms records as strings, packs each into a gzip member of its own and lets Spark's text writer store the
-bytes, so it works on any file system. The reader checks every record (version line, header, length, trailing line ends,
+The writer forms records as strings, packs each into a gzip member of its own, gathers members to archives of bounded
+bytes and lets Spark's text writer store those, so it works on any file system. The reader checks every record (version line, header, length, trailing line ends,
 payload digest); after a failure it looks for the next gzip member or version line that begins a valid record, goes on
 from there and logs the bytes in between as a quarantined gap.
 """
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_rows
+from .common import ARROW_ROWS, arrow_rows, hot_join, written
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END, _MAGIC, _VERSION = b"\r\n\r\n", b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r\n")
-#: Records in an archive at most; an archive is read by one task.
-PER_FILE = 2000
+#: Bytes of an archive at most, unless its one record is larger; a task reads one archive at a time.
+ARCHIVE_BYTES = 16 << 20
 
 
 def base32_of_hex(hexed: Column) -> Column:
@@ -40,16 +40,16 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
     """One WARC record per row as a string column value.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are responses and the others revisit
-    it; smaller payloads are all responses. A null payload is empty, a null uri is left out, and null ids lose against
-    all others. Repeated rows give a record each. An empty table gives no records.
+    it; smaller payloads are all responses. Payloads are told apart by SHA-256 and length. A null payload is empty, a null
+    uri is left out, and null ids lose against all others. Repeated rows give a record each. An empty table gives no
+    records, and other columns play no part.
     """
     rows = pages.select(
         F.col(id_col).alias("id"), F.regexp_replace(F.col(uri_col), r"[\r\n]", " ").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
-    ).select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha"))
-    # The table of repeated payloads is light; a hot payload's rows are split by the skewed join.
-    again = rows.groupBy("sha", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("c")).filter(f"c > 1 AND n >= {int(least)}")
-    joined = rows.join(again.select("sha", "first", F.lit(True).alias("several")), "sha", "left")
-    visit = F.coalesce(F.col("several") & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
+    ).select("*", F.octet_length("payload").alias("n"), F.unhex(F.sha2("payload", 256)).alias("key"), F.sha1("payload").alias("sha"))
+    per = written(rows.groupBy("key").agg(F.max("id").alias("first"), F.max("n").alias("of"), F.count(F.lit(1)).alias("c")), "payloads")
+    joined = hot_join(rows, per, "key", "c", per.agg(F.sum("c")).first()[0] or 0)
+    visit = (F.col("c") > 1) & (F.col("n") >= int(least)) & ~F.col("id").eqNullSafe(F.col("first"))
     named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     head = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     text = F.concat(
@@ -69,20 +69,30 @@ def _member(record: bytes) -> bytes:
     return out if out[-1] == 0 else out + _member(b"")
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_member(x.as_py().encode())[:-1] for x in batch.column(0)], pa.binary())], names=["value"])
+def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **how) -> None:
+    """Archives of at most archive_bytes, a gzip member per record. A row of the text writer is an archive: its line
+    separator is the last member's last byte; file names end in .txt, as the writer itself doesn't compress."""
 
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+        for batch in batches:
+            for x in batch.column(0):
+                member = _member(x.as_py().encode())
+                if held and size + len(member) > archive_bytes:
+                    yield flush()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield flush()
 
-def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE, **how) -> None:
-    """Archives of at most per_file records, a gzip member each. The writer's line separator is every member's last byte;
-    file names end in .txt, as the writer itself doesn't compress."""
     spark = pages.sparkSession
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, arrow_rows(before))
     try:
-        packed = records(pages, **how).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-        packed.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+        packed = records(pages, **how).mapInArrow(archives, "value binary").select(F.col("value").cast("string"))
+        packed.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)
 
@@ -205,11 +215,13 @@ def salvage(data: bytes) -> Iterator[Salvaged]:
         at = end
 
 
+#: Rows of a batch that the reader gives back.
+ROWS = 2000
 _SCHEMA = "path string, kind string, at bigint, end bigint, reason string, id bigint, uri string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Records and gaps of all archives below path, one row each; a task holds one archive at a time.
+    """Records and gaps of all archives below path, one row each.
 
     kind is the WARC type, or gap: then at, end and reason tell what was quarantined. Length and digest of a response are
     those of the payload read, of a revisit those it states. payload is null unless asked for. No archive gives no rows.
@@ -219,20 +231,36 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     def number(x: str) -> int | None:
         return int(m[1]) if (m := name.fullmatch(x)) else None
 
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, content in zip(batch.column(0), batch.column(1)):
-                rows: list[tuple] = []
-                for x in salvage(content.as_py()):
-                    h, here = x.headers, x.kind not in ("gap", "revisit")
-                    stated = h.get("warc-payload-length", "")
-                    rows.append((
-                        where.as_py(), x.kind, x.at, x.end, x.reason, number(h.get("warc-record-id", "")), h.get("warc-target-uri"),
-                        len(x.payload) if here else int(stated) if stated.isdigit() else None, _digest(x.payload) if here else h.get("warc-payload-digest", "")[5:] or None,
-                        number(h.get("warc-refers-to", "")), x.payload if payloads and here else None,
-                    ))
-                if rows:
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+        for where, content in ((a, b) for batch in batches for a, b in zip(batch.column(0), batch.column(1))):
+            rows: list[tuple] = []
+            for x in salvage(content.as_py()):
+                h, here = x.headers, x.kind not in ("gap", "revisit")
+                stated = h.get("warc-payload-length", "")
+                rows.append((
+                    where.as_py(), x.kind, x.at, x.end, x.reason, number(h.get("warc-record-id", "")), h.get("warc-target-uri"),
+                    len(x.payload) if here else int(stated) if stated.isdigit() else None, _digest(x.payload) if here else h.get("warc-payload-digest", "")[5:] or None,
+                    number(h.get("warc-refers-to", "")), x.payload if payloads and here else None,
+                ))
+                if len(rows) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMA)
+
+
+def gaps(found: DataFrame) -> DataFrame:
+    """The log of read_warc's gaps: of every archive with one, how many there are, their bytes, and their reasons."""
+    lost = found.filter("kind = 'gap'").groupBy("path")
+    return lost.agg(F.count(F.lit(1)).alias("gaps"), F.sum(F.col("end") - F.col("at")).alias("bytes"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """The records of read_warc; a gap is an error, for archives that must be intact."""
+    lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), "reason")).cast("boolean")
+    return found.filter(F.when(F.col("kind") == "gap", lost).otherwise(True))
