@@ -21,8 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The verdicts are written before they filter: pushed into the scan, the filter would repeat what they are made of.
     """
-    decided = quality(docs, table(spark, sf_dir, "labels"))
-    return written(decided, "decided").filter("_q.kept").drop("_q")
+    verdict = "verdict"
+    while verdict in map(str.lower, docs.columns):
+        verdict += "_"
+    decided = written(quality(docs, table(spark, sf_dir, "labels"), out=verdict), "decided")
+    return decided.filter(f"{verdict}.kept").drop(verdict)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
