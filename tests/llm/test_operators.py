@@ -368,19 +368,44 @@ ALL = {
 }
 
 
+#: Result columns of each operator, and their values for null text, blank text, a repeated row and the very long text.
+SHOWN = {
+    "licenses": ("_l.n_words, size(_l.places), _l.score", (0, 0, 0.0), (0, 0, 0.0), (3, 1, 1.0), (60_000, 0, 0.0)),
+    "codec": ("n_tokens", (2,), None, None, None), "pii": ("size(_p)", (0,), (0,), (0,), (0,)), "mix": ("_m.size, _m.source_size", (0, 12), (0, 60_002), (3, 12), (60_000, 60_002)),
+    "exact": ("keep_id, group_size", (2, 2), (3, 1), (5, 3), (7, 1)), "quality": ("_q.n_words, _q.base_failed", (0, True), (0, True), (3, True), (60_000, True)),
+    "tokens": ("n_pretokens", (0,), None, (3,), (60_001,)), "language": ("lang_pred = 'und'", (True,), (True,), (False,), (False,)), "near": ("class_id, class_size", (1, 2), (3, 1), (4, 3), (7, 1)),
+}
+
+
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_odd_rows_and_empty_tables(odd, none, labels, name):
-    assert len(ALL[name](odd, labels).collect()) == odd.count()
+    got = ALL[name](odd, labels)
+    shown, *want = SHOWN[name]
+    rows = got.selectExpr("doc_id", *re.split(", (?![^(]*\\))", shown)).collect()
+    assert len(rows) == odd.count()
+    for i, values in zip((1, 3, 4, 7), want):
+        own = [tuple(r)[1:] for r in rows if r[0] == i]
+        if name == "mix" and i != 3:
+            own, values = [x[:1] for x in own], values[:1]
+        assert values is None or own == [values] * (2 if i == 4 else 1), (i, own)
+    names = [c.lower() for c in got.columns]
+    assert len(names) == len(set(names))
+    if name not in ("exact", "near"):
+        new = {"licenses": "_l", "pii": "_p", "mix": "_m", "quality": "_q"}.get(name)
+        gone = {"codec": {"n_tokens"}, "tokens": {"n_tokens"}, "language": {"score"}}.get(name, {new})
+        assert {c.lower() for c in odd.columns} - gone <= set(names)
     assert ALL[name](none, labels).collect() == []
 
 
 def test_odd_rows_are_dropped_once(odd):
     kept = exact_dedup.drop_exact_copies(odd)
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and all(r["w"] == "w" and r["Key"] == "Key" for r in kept.collect())
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "7", "8", "None"]
     assert sum(r.kept for r in exact_dedup.exact_groups(odd).collect()) == 6
     near = bagminhash.drop_near_copies(odd)
-    assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "4", "7", "8", "None"] or near.count() == sum(r.kept for r in bagminhash.near_duplicates(odd).collect())
+    assert near.columns == odd.columns and sorted(str(r.doc_id) for r in near.collect()) == ["1", "3", "4", "7", "8", "None"]
+    assert sum(r.kept for r in bagminhash.near_duplicates(odd).collect()) == 6
+    assert mixing.mixed_documents(odd).columns == odd.columns
 
 
 def test_piece_codec_slices():

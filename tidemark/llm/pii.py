@@ -46,9 +46,9 @@ class Kind:
 
 #: Possessive quantifiers keep Java's matcher from recursing; a look-behind lets a run be tried once, at its start.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"^[A-Za-z0-9][A-Za-z0-9._%+-]*(@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9.-]+(\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z]{2,}$",
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"^[A-Za-z0-9][A-Za-z0-9._%+-]*(@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9.-]+(\.|\x20?[(\[](?i:dot)[)\]]\x20?| (?i:dot) )[A-Za-z]{2,}$",
          r"\.(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", "mail|contact|write|correo|kontakt", (6, 64),
-         listed=r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z]{2,24}+)+", hint=r"[(\[](?i:at)[)\]]"),
+         listed=r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z]{2,24}+)+", hint=r"[(\[](?i:at)[)\]]"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"^([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})(\.([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})){3}$", r"^(10|127|172|192)\.", "ip|host|server|address|addr", (7, 15)),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$", r"^(4|5[1-5]|3[47]|6)", "card|visa|credit|karte|tarjeta|carte", (15, 19)),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$", r"^\+(1|33|34|44|49)\b", "phone|call|tel|mobile|fax", (10, 20),
