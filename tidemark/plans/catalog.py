@@ -2,56 +2,31 @@
 
 from __future__ import annotations
 
-import datetime
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import equities, flow, indicators, metrics
 from tidemark.sources import adapters as src
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .registry import Query, oracle_sql, queries, query, rounded  # noqa: F401
 
-DATES = [datetime.date(y, m, 1) for y in (1996, 1998, 2000) for m in (3, 9)]
-_DATES = "decisions AS (SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in DATES) + "]) AS decision_date)"
 MIN_VOLUME = 20_000.0
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-def _decisions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in DATES], "decision_date date")
-
-
 _FLOW = """SELECT symbol, ts // {b} * {b} AS bucket, sum(CASE WHEN is_buyer_maker THEN 0 ELSE quantity END) AS buy_volume,
     sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END) AS sell_volume, count(*) FILTER (NOT is_buyer_maker) AS buy_count,
     count(*) FILTER (is_buyer_maker) AS sell_count, sum(price * quantity) AS notional FROM ticks GROUP BY ALL"""
 
 
-@query(f"WITH {src.TICKS}, f AS ({_FLOW.format(b=1000)}) SELECT symbol, bucket, round(buy_volume, 4) AS buy_volume, round(sell_volume, 4) AS sell_volume, buy_count, sell_count, round(notional, 4) AS notional, round(notional / (buy_volume + sell_volume), 4) AS vwap FROM f")
+@query(f"WITH {src.TICKS}, f AS ({_FLOW.format(b=1000)}) SELECT symbol, bucket, buy_volume::DOUBLE AS buy_volume, sell_volume::DOUBLE AS sell_volume, buy_count, sell_count, notional::DOUBLE AS notional, notional::DOUBLE / (buy_volume + sell_volume)::DOUBLE AS vwap FROM f")
 def a1_flow_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(flow.flow_buckets(src.ticks(spark, sf_dir)), 4, "buy_volume", "sell_volume", "notional", "vwap")
+    return flow.as_doubles(flow.flow_buckets(src.ticks(spark, sf_dir)))
 
 
-@query(f"WITH {src.TICKS}, f AS ({_FLOW.format(b=3600000)}) SELECT symbol, bucket, round(buy_volume, 4) AS buy_volume, round(sell_volume, 4) AS sell_volume, buy_count, sell_count, round(notional / (buy_volume + sell_volume), 4) AS vwap, round((buy_volume - sell_volume) / (buy_volume + sell_volume), 6) AS imbalance FROM f")
+@query(f"WITH {src.TICKS}, f AS ({_FLOW.format(b=3600000)}) SELECT symbol, bucket, buy_volume::DOUBLE AS buy_volume, sell_volume::DOUBLE AS sell_volume, buy_count, sell_count, notional::DOUBLE / (buy_volume + sell_volume)::DOUBLE AS vwap, (buy_volume - sell_volume)::DOUBLE / (buy_volume + sell_volume)::DOUBLE AS imbalance FROM f")
 def a2_flow_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = flow.merge_buckets(flow.flow_buckets(src.ticks(spark, sf_dir)), bucket_ms=src.HOUR_MS).withColumn("imbalance", F.round(flow.imbalance(), 6))
-    return rounded(hourly.drop("notional"), 4, "buy_volume", "sell_volume", "vwap")
+    hourly = flow.merge_buckets(flow.flow_buckets(src.ticks(spark, sf_dir)), bucket_ms=src.HOUR_MS).withColumn("imbalance", flow.imbalance())
+    return flow.as_doubles(hourly.drop("notional"))
 
 
 @query(f"WITH {src.TICKS}, g AS (SELECT *, lag(id) OVER (PARTITION BY symbol ORDER BY ts, id) AS prev FROM ticks) SELECT symbol, prev + 1 AS expected_from, id AS found, id - prev - 1 AS missing, id - prev - 1 > 50000 AS is_hole FROM g WHERE id - prev > 1")
@@ -70,9 +45,9 @@ def w15_liveness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.silences(src.ticks(spark, sf_dir))
 
 
-@query(f"WITH {src.TICKS}, g AS (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ticks) SELECT symbol, id, price FROM g WHERE seen IS NULL OR price > seen")
+@query(f"WITH {src.TICKS}, g AS (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ticks) SELECT symbol, id, price::DOUBLE AS price FROM g WHERE seen IS NULL OR price > seen")
 def w16_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.accepted(src.ticks(spark, sf_dir), "price").select("symbol", "id", "price")
+    return flow.accepted(src.ticks(spark, sf_dir), "price").select("symbol", "id", F.col("price").cast("double").alias("price"))
 
 
 @query(f"WITH {src.TICKS} SELECT symbol, ts // 60000 * 60000 AS bucket, min(ts) AS ts, arg_min(id, (ts, id)) AS id FROM ticks GROUP BY 1, 2")
@@ -80,9 +55,9 @@ def w22_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.sampled(src.ticks(spark, sf_dir))
 
 
-@query(f"WITH {src.BARS} SELECT symbol, ts, open, high, low, close, round(volume, 4) AS volume FROM bars")
+@query(f"WITH {src.BARS} SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def a3_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(src.bars(spark, sf_dir), 4, "volume")
+    return src.bars(spark, sf_dir)
 
 
 @query(f"""WITH {src.BARS}, w AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS mid, stddev_pop(close) OVER f AS dev,
@@ -139,16 +114,15 @@ def w23_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.walk_forward(src.bars(spark, sf_dir))
 
 
-@query(f"""WITH {src.TRADES}, s AS (SELECT run, count(*) AS n, avg((pnl > 0)::INT) AS win_rate, sum(greatest(pnl, 0)) AS gp, sum(greatest(-pnl, 0)) AS gl, sum(pnl) AS p,
-    sum(0.001 * size * (entry_price + exit_price)) AS f FROM trades GROUP BY 1)
-    SELECT run, n, round(win_rate, 6) AS win_rate, round(gp, 2) AS gross_profit, round(gl, 2) AS gross_loss, round(p, 2) AS total_pnl, round(f, 2) AS fees, round(gp / gl, 6) AS profit_factor, round(p - f, 2) AS net_pnl FROM s""")
+@query(f"""WITH {src.TRADES}, s AS (SELECT run, count(*) AS n, count(*) FILTER (pnl > 0) AS w, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END)::DOUBLE AS gp, sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END)::DOUBLE AS gl, sum(pnl) AS p,
+    sum(0.001 * (entry_notional + exit_notional)) AS f FROM trades GROUP BY 1)
+    SELECT run, n, w / n AS win_rate, gp AS gross_profit, gl AS gross_loss, p::DOUBLE AS total_pnl, f::DOUBLE AS fees, CASE WHEN gl != 0 THEN gp / gl WHEN gp > 0 THEN 'inf'::DOUBLE ELSE 0 END AS profit_factor, (p - f)::DOUBLE AS net_pnl FROM s""")
 def a8_trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.trade_stats(src.trades(spark, sf_dir))
-    return rounded(rounded(out, 2, "gross_profit", "gross_loss", "total_pnl", "fees", "net_pnl"), 6, "win_rate", "profit_factor")
+    return metrics.trade_stats(src.trades(spark, sf_dir))
 
 
-@query(f"""WITH {src.TRADES} SELECT run, hour(make_timestamp(exit_ts * 1000))::INT AS hour, NULL::INT AS weekday, round(sum(pnl), 2) AS pnl FROM trades GROUP BY ALL
-    UNION ALL SELECT run, NULL, (isodow(make_timestamp(exit_ts * 1000)) - 1)::INT, round(sum(pnl), 2) FROM trades GROUP BY ALL""")
+@query(f"""WITH {src.TRADES} SELECT run, hour(make_timestamp(exit_ts * 1000))::INT AS hour, NULL::INT AS weekday, sum(pnl)::DOUBLE AS pnl FROM trades GROUP BY ALL
+    UNION ALL SELECT run, NULL, (isodow(make_timestamp(exit_ts * 1000)) - 1)::INT, sum(pnl)::DOUBLE FROM trades GROUP BY ALL""")
 def a10_pnl_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_time(src.trades(spark, sf_dir))
 
@@ -159,37 +133,38 @@ def a11_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.exposure(src.trades(spark, sf_dir)), 6, "exposure")
 
 
-@query(f"""WITH {src.TRADES}, t AS (SELECT make_timestamp(exit_ts * 1000)::DATE AS day, pnl, pnl - 0.001 * size * (entry_price + exit_price) AS net FROM trades)
-    SELECT coalesce(day::VARCHAR, 'TOTAL') AS day, count(*) AS n, round(sum(pnl), 2) AS pnl, round(sum(net), 2) AS net_pnl FROM t GROUP BY ROLLUP (day)""")
+_NET = "pnl - 0.001 * (entry_notional + exit_notional) AS net"
+
+
+@query(f"""WITH {src.TRADES}, t AS (SELECT make_timestamp(exit_ts * 1000)::DATE AS day, pnl, {_NET} FROM trades)
+    SELECT coalesce(day::VARCHAR, 'TOTAL') AS day, count(*) AS n, count(*) FILTER (pnl > 0) / count(*) AS win_rate, sum(pnl)::DOUBLE AS pnl, sum(net)::DOUBLE AS net_pnl, count(*) FILTER (net > 0) / count(*) AS net_win_rate FROM t GROUP BY ROLLUP (day)""")
 def a13_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.daily_table(src.trades(spark, sf_dir))
 
 
-@query(f"WITH {src.TRADES} SELECT exit_reason, count(*) AS n, round(sum(pnl), 2) AS pnl FROM trades GROUP BY 1")
+@query(f"WITH {src.TRADES}, t AS (SELECT exit_reason, pnl, {_NET} FROM trades) SELECT exit_reason, count(*) AS n, sum(pnl)::DOUBLE AS pnl, sum(net)::DOUBLE AS net_pnl FROM t GROUP BY 1")
 def a14_by_exit_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.trades(spark, sf_dir).groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 2).alias("pnl"))
+    return metrics.by_exit_reason(src.trades(spark, sf_dir))
 
 
 @query(f"""WITH {src.TICKS}, r AS (SELECT symbol, ts // 60000 AS m, count(*) AS n FROM ticks GROUP BY 1, 2) SELECT symbol, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.95), 4) AS p95,
-    round(quantile_cont(n, 0.99), 4) AS p99, max(n) AS peak, max(m) - min(m) + 1 AS span FROM r GROUP BY 1""")
+    round(quantile_cont(n, 0.99), 4) AS p99, max(n) AS peak, max(m) - min(m) + 1 AS span, round(1000 / quantile_cont(n, 0.99), 4) AS covered, round(1000 / quantile_cont(n, 0.99) / 0.25, 4) AS headroom FROM r GROUP BY 1""")
 def a18_rate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = src.ticks(spark, sf_dir).groupBy("symbol", F.expr("ts div 60000").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rate.groupBy("symbol").agg(p.alias("p"), F.max("n").alias("peak"), (F.max("m") - F.min("m") + 1).alias("span"))
-    return out.select("symbol", *[F.round(F.get("p", F.lit(i)), 4).alias(f"p{n}") for i, n in enumerate((50, 95, 99))], "peak", "span")
+    return rounded(flow.rate_report(rate, "m", "n"), 4, "p50", "p95", "p99", "covered", "headroom")
 
 
-@query(f"""WITH {src.BARS}, r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars)
+@query(f"""WITH {src.BARS}, r AS (SELECT symbol, ts, CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY ts) != 0 THEN close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 END AS r FROM bars)
     SELECT a.symbol, round(CASE WHEN count(*) >= 3 THEN corr(a.r, b.r) END, 6) AS correlation FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'S0' WHERE a.symbol != 'S0' AND a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1""")
 def a20_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts")
-    r = src.bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / F.lag("close").over(w) - 1).alias("r")).dropna()
+    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
+    r = src.bars(spark, sf_dir).select("symbol", "ts", F.when(prev != 0, F.col("close") / F.when(prev != 0, prev) - 1).alias("r")).dropna()
     ref = r.filter("symbol = 'S0'").select("ts", F.col("r").alias("ref"))
     varied = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("r") > 0) & (F.stddev_pop("ref") > 0)
     return r.filter("symbol != 'S0'").join(ref, "ts").groupBy("symbol").agg(F.round(F.when(varied, F.corr("r", "ref")), 6).alias("correlation"))
 
 
-@query(f"""WITH {src.TRADES}, e AS (SELECT *, 1000000 + sum(pnl) OVER o AS equity FROM trades WINDOW o AS (PARTITION BY run ORDER BY exit_ts, trade_id, leg ROWS UNBOUNDED PRECEDING)),
+@query(f"""WITH {src.TRADES}, e AS (SELECT *, (1000000 + sum(pnl) OVER o)::DOUBLE AS equity FROM trades WINDOW o AS (PARTITION BY run ORDER BY exit_ts, trade_id, leg ROWS UNBOUNDED PRECEDING)),
     p AS (SELECT *, max(equity) OVER o AS peak, lag(equity) OVER (PARTITION BY run ORDER BY exit_ts, trade_id, leg) AS prev FROM e WINDOW o AS (PARTITION BY run ORDER BY exit_ts, trade_id, leg ROWS UNBOUNDED PRECEDING)),
     q AS (SELECT *, max(CASE WHEN equity >= peak THEN exit_ts END) OVER (PARTITION BY run ORDER BY exit_ts, trade_id, leg ROWS UNBOUNDED PRECEDING) AS top_ts FROM p)
     SELECT run, round(max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END), 6) AS max_drawdown, max(exit_ts - top_ts) AS longest_ms,
@@ -199,19 +174,31 @@ def w17_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.drawdown(curve).join(metrics.curve_volatility(curve), "run"), 6, "max_drawdown", "volatility")
 
 
-@query(f"""WITH {src.FILINGS}, {_DATES} SELECT decision_date, company, period, category, max(version) AS version, arg_max(filing_id, version) AS filing_id, arg_max(received, version) AS received
+_QUARTERS, _MONTHS = src.decisions_sql("orders", "o_orderdate", "quarter"), src.decisions_sql("lineitem", "l_shipdate")
+
+
+def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.decisions(src.table(spark, sf_dir, "orders"), "o_orderdate", "quarter")
+
+
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.decisions(src.table(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+@query(f"""WITH {src.FILINGS}, {_QUARTERS} SELECT decision_date, company, period, category, max(version) AS version, arg_max(filing_id, version) AS filing_id, arg_max(received, version) AS received
     FROM filings JOIN decisions ON received <= decision_date GROUP BY ALL""")
 def j2_filing_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equities.filing_as_of(src.filings(spark, sf_dir), _decisions(spark))
+    return equities.filing_as_of(src.filings(spark, sf_dir), quarters(spark, sf_dir))
 
 
-@query(f"""WITH {src.FILINGS}, {_DATES} SELECT decision_date, company, category, max(period) AS period, arg_max(version, (period, version)) AS version, arg_max(filing_id, (period, version)) AS filing_id
+@query(f"""WITH {src.FILINGS}, {_QUARTERS} SELECT decision_date, company, category, max(period) AS period, arg_max(version, (period, version)) AS version, arg_max(filing_id, (period, version)) AS filing_id
     FROM filings JOIN decisions ON received <= decision_date GROUP BY ALL""")
 def j3_latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equities.latest_filing_as_of(src.filings(spark, sf_dir), _decisions(spark))
+    return equities.latest_filing_as_of(src.filings(spark, sf_dir), quarters(spark, sf_dir))
 
 
-_EVENTS = """w AS (SELECT *, lag(ex_suffix) OVER o AS prev, close / lag(close) OVER o - 1 AS ret FROM prices WINDOW o AS (PARTITION BY ticker ORDER BY trade_date)),
+_EVENTS = """w0 AS (SELECT *, lag(ex_suffix) OVER o AS prev, lag(close) OVER o AS from_close, lag(trade_date) OVER o AS from_date FROM prices WINDOW o AS (PARTITION BY ticker ORDER BY trade_date)),
+    w AS (SELECT *, CASE WHEN from_close > 0 THEN close / from_close - 1 END AS ret FROM w0),
     ev AS (SELECT ticker, trade_date, ex_suffix, CASE WHEN regexp_matches(ex_suffix, '[BG]') THEN true WHEN ex_suffix = 'EX' THEN coalesce(abs(ret) >= 0.33, false) ELSE false END AS is_level_break
     FROM w WHERE ex_suffix IS NOT NULL AND ex_suffix IS DISTINCT FROM prev)"""
 
@@ -221,7 +208,7 @@ def w12_corporate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equities.corporate_events(src.daily_prices(spark, sf_dir))
 
 
-@query(f"WITH {src.PRICES}, {_EVENTS} SELECT ticker, trade_date, round(ret, 6) AS ret FROM w WHERE abs(ret) > 0.6 AND (ticker, trade_date) NOT IN (SELECT (ticker, trade_date) FROM ev WHERE is_level_break)")
+@query(f"WITH {src.PRICES}, {_EVENTS} SELECT ticker, from_date, trade_date, from_close, close, ret FROM w WHERE abs(ret) > 0.6 AND NOT EXISTS (SELECT 1 FROM ev WHERE is_level_break AND ev.ticker = w.ticker AND ev.trade_date = w.trade_date)")
 def w13_implausible_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = src.daily_prices(spark, sf_dir)
     return equities.implausible_moves(prices, equities.corporate_events(prices))
@@ -233,22 +220,18 @@ def a4_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equities.validity(src.daily_prices(spark, sf_dir))
 
 
-@query(f"""WITH {src.PRICES}, {_DATES}, v AS (SELECT *, row_number() OVER o AS history, list_sort(list(volume) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 62 PRECEDING)) AS v FROM prices WINDOW o AS (PARTITION BY ticker ORDER BY trade_date)),
+CANDIDATES = f"""{src.PRICES}, {_MONTHS}, v AS (SELECT *, row_number() OVER o AS history, list_sort(list(volume) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 62 PRECEDING)) AS v FROM prices WINDOW o AS (PARTITION BY ticker ORDER BY trade_date)),
     n AS (SELECT decision_date, ticker, root, arg_max(history, trade_date) AS history, arg_max(v[len(v) // 2 + 1], trade_date) AS median_volume FROM v JOIN decisions ON trade_date <= decision_date AND trade_date > decision_date - 200 GROUP BY ALL),
-    b AS (SELECT *, row_number() OVER (PARTITION BY decision_date, root, median_volume >= {MIN_VOLUME} ORDER BY median_volume DESC, ticker) AS best FROM n)
-    SELECT decision_date, ticker, median_volume, history, CASE WHEN median_volume < {MIN_VOLUME} THEN 'illiquid' WHEN best > 1 THEN 'less_liquid_class' WHEN history < 252 THEN 'short_history' END AS reason FROM b""")
+    b AS (SELECT *, row_number() OVER (PARTITION BY decision_date, root, median_volume >= {MIN_VOLUME} ORDER BY median_volume DESC, ticker) AS best FROM n)"""
+_UNIVERSE = f"""{CANDIDATES}, universe AS (SELECT decision_date, ticker, median_volume, history,
+    CASE WHEN median_volume < {MIN_VOLUME} THEN 'illiquid' WHEN best > 1 THEN 'less_liquid_class' WHEN history < 252 THEN 'short_history' END AS reason FROM b)"""
+
+
+@query(f"WITH {_UNIVERSE} SELECT * FROM universe")
 def c1_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equities.universe(src.daily_prices(spark, sf_dir), _decisions(spark), MIN_VOLUME)
+    return equities.universe(src.daily_prices(spark, sf_dir), months(spark, sf_dir), MIN_VOLUME).drop("root")
 
 
-@query(f"WITH {_SQL['c1_universe'][5:].rsplit('SELECT decision_date, ticker', 1)[0]}, c AS (SELECT decision_date, ticker{_SQL['c1_universe'].rsplit('SELECT decision_date, ticker', 1)[1]}) SELECT decision_date, coalesce(reason, 'eligible') AS reason, count(*) AS n FROM c GROUP BY ALL".replace(", c AS", ", c AS"))
+@query(f"WITH {_UNIVERSE} SELECT decision_date, coalesce(reason, 'eligible') AS reason, count(*) AS n FROM universe GROUP BY ALL")
 def a25_exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c1_universe(spark, sf_dir).groupBy("decision_date", F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
