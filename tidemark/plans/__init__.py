@@ -1,3 +1,3 @@
 """Queries, registered when the package is imported."""
 
-from . import catalog, listed  # noqa: F401
+from . import catalog, desk, listed  # noqa: F401

@@ -161,8 +161,8 @@ def u2_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.first_seen(line.select(F.concat(F.lit("T"), (F.col("l_suppkey") % 50).cast("string")).alias("ticker"), F.concat(F.lit("name "), "l_returnflag", "l_linestatus").alias("name"), F.year("l_shipdate").alias("year")))
 
 
-_INTERVALS = """iv AS (SELECT ticker, first AS valid_from, mid AS valid_to, 'A' || (hash_k % 40)::VARCHAR AS company FROM hk UNION ALL SELECT ticker, mid + 2, NULL, 'B' || (hash_k % 40)::VARCHAR FROM hk WHERE hash_k % 3 > 0),
-    hk AS (SELECT ticker, min(trade_date) AS first, min(trade_date) + CAST((max(trade_date) - min(trade_date)) // 2 AS INTEGER) AS mid, count(*) AS hash_k FROM prices GROUP BY 1)"""
+_INTERVALS = """hk AS (SELECT ticker, min(trade_date) AS first, min(trade_date) + CAST((max(trade_date) - min(trade_date)) // 2 AS INTEGER) AS mid, count(*) AS hash_k FROM prices GROUP BY 1),
+    iv AS (SELECT ticker, first AS valid_from, mid AS valid_to, 'A' || (hash_k % 40)::VARCHAR AS company FROM hk UNION ALL SELECT ticker, mid + 2, NULL, 'B' || (hash_k % 40)::VARCHAR FROM hk WHERE hash_k % 3 > 0)"""
 _ASOF = "held AS (SELECT DISTINCT n.decision_date, n.ticker, arg_max(iv.company, (valid_from, iv.company)) OVER (PARTITION BY n.decision_date, n.ticker) AS company FROM n JOIN iv ON iv.ticker = n.ticker AND valid_from <= decision_date AND decision_date <= coalesce(valid_to, DATE '9999-12-31'))"
 
 
