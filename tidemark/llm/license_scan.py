@@ -123,7 +123,8 @@ def scan_licenses(
     depth = F.greatest(*[_depth(F.col("ranked"), list(k)) for k in keys])
     asked = ranked.withColumn("asked", F.when(F.col("w").isNotNull(), F.slice("ranked", F.lit(1), depth)))
     w = F.col("w")
-    spots = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: F.array_contains("asked", s["w"]))
+    spotted = lambda a: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: F.array_contains(a, s["w"]))
+    spots = F.get(F.transform(F.array("asked"), spotted), F.lit(0))  # asked is made once a text, not once a word
     starts = F.flatten(F.transform(spots, lambda s: F.transform(F.element_at(postings, s["w"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["p"]).alias("start")))))
     # Sorted, a start that two words propose is followed by itself; only the first of its run stays.
     run = lambda x, i: (x == F.get("starts", i + 1)) & ~F.coalesce(x == F.get("starts", i - 1), F.lit(False))
