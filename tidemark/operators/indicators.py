@@ -138,12 +138,13 @@ def with_recurrences(bars: DataFrame, chunk_ms: int = 7 * 86_400_000, fast: int
     )
 
 
-def triple_barrier(bars: DataFrame, horizon: int = 12, target: float = 0.1, stop: float = 0.05) -> DataFrame:
-    """label 1 where, in the next horizon bars, the target is hit before the stop, else 0; both in one bar is 0."""
+def triple_barrier(bars: DataFrame, horizon: int = 12, target: float | Column = 0.1, stop: float = 0.05) -> DataFrame:
+    """label 1 where, in the next horizon bars, the target is hit before the stop, else 0; both in one bar is 0. The target
+    is a share of the close, fixed or a column such as k * atr_pct; a null target is never hit."""
     frame = _by().rowsBetween(1, horizon)
     ahead = F.collect_list(F.struct("high", "low")).over(frame)
     up, down = F.col("close") * (1 + target), F.col("close") * (1 - stop)
-    hits = F.transform("_a", lambda b: F.when(b["low"] <= down, 0).when(b["high"] >= up, 1).otherwise(2))
+    hits = F.transform("_a", lambda b: F.when(b["low"] <= down, 0).when(F.coalesce(b["high"] >= up, F.lit(False)), 1).otherwise(2))
     rows = bars.withColumn("_a", ahead).filter(F.size("_a") == horizon)
     return rows.withColumn("label", F.coalesce(F.get(F.filter(hits, lambda x: x < 2), F.lit(0)), F.lit(0))).drop("_a")
 

@@ -32,7 +32,7 @@ def _assembled(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 
 def _raw(booster: GBTClassificationModel, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    out = booster.transform(_assembled(rows, features))
+    out = booster.setProbabilityCol("_p").setRawPredictionCol("_r").transform(_assembled(rows, features))
     return out.withColumn("score", vector_to_array("_p")[1]).drop("_x", "_r", "_p", "_y")
 
 
@@ -43,7 +43,7 @@ def train(rows: DataFrame, features: tuple[str, ...], seed: int = 7, trees: int
     n, positive = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     weight = (n - positive) / positive if balance and positive else 1.0
     booster = GBTClassifier(
-        featuresCol="_x", labelCol="label", weightCol="_w", predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.1
+        featuresCol="_x", labelCol="label", weightCol="_w", predictionCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.1
     ).fit(_assembled(fit.withColumn("_w", F.when(F.col("label") == 1, float(weight)).otherwise(1.0)), features))
     later = _raw(booster, rows.filter("part = 'calibration'"), features)
     calibrator = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="probability").fit(later.select("score", F.col("label").cast("double").alias("label")))
