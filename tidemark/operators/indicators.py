@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _by():
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -59,14 +60,19 @@ def cyclical_time(ts: str = "ts") -> dict[str, Column]:
     return {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "dow_sin": F.sin(day), "dow_cos": F.cos(day)}
 
 
-def recurrence(df: DataFrame, inputs: dict[str, tuple[str, float]], chunk: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def recurrence(
+    df: DataFrame, inputs: dict[str, tuple[str, float]], chunk: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts",
+    of_differences: dict[str, tuple[str, str, float]] | None = None,
+) -> DataFrame:
     """y = a x + (1 - a) y of the row before, y = x at a key's first x, for each output: (input, a). Null inputs give null.
+    of_differences has outputs of the difference of two outputs over one input: (first, second, a).
 
-    A chunk maps the state s to A s + B. The first pass takes A and B of every chunk, a window over the few chunk rows
-    carries the states, and the last pass runs each chunk from its own. No task ever holds more than one chunk, so a
-    single long symbol is spread over all its chunks.
+    A chunk maps the state s to A s + B, that of a difference takes both its outputs' states too. The first pass takes the
+    maps of every chunk, a window over the few chunk rows carries the states, and the last pass runs each chunk from its
+    own. No task ever holds more than one chunk, so a single long symbol is spread over all its chunks.
     """
-    names, columns = list(inputs), df.columns
+    extra = of_differences or {}
+    names, columns = [*inputs, *extra], df.columns
     part = df.select(*keys, chunk, order, *dict.fromkeys(x for x, _ in inputs.values()))
 
     def run(x: np.ndarray, a: float, state: float) -> np.ndarray:
@@ -83,33 +89,50 @@ def recurrence(df: DataFrame, inputs: dict[str, tuple[str, float]], chunk: str,
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         row = {k: [pdf[k].iloc[0]] for k in (*keys, chunk)}
+        held = {}
         for n, (x, a) in inputs.items():
             v = pdf[x].to_numpy(float)
             v = v[~np.isnan(v)]
-            row[f"{n}_n"], row[f"{n}_x"], row[f"{n}_b"] = [len(v)], [v[0] if len(v) else np.nan], [run(v, a, 0.0)[-1] if len(v) else 0.0]
+            held[n] = run(v, a, 0.0)
+            row[f"{n}_n"], row[f"{n}_x"], row[f"{n}_b"] = [len(v)], [v[0] if len(v) else np.nan], [held[n][-1] if len(v) else 0.0]
+        for n, (one, two, a) in extra.items():
+            m = len(held[one])
+            fade = [run((1 - inputs[x][1]) ** np.arange(1, m + 1), a, 0.0)[-1] if m else 0.0 for x in (one, two)]
+            row[f"{n}_b"], row[f"{n}_p"], row[f"{n}_q"] = [run(held[one] - held[two], a, 0.0)[-1] if m else 0.0], [fade[0]], [-fade[1]]
         return pd.DataFrame(row)
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {types[k]}" for k in (*keys, chunk))
-    summed = part.groupBy(*keys, chunk).applyInPandas(summary, head + "".join(f", {n}_n bigint, {n}_x double, {n}_b double" for n in names))
+    made = "".join(f", {n}_n bigint, {n}_x double, {n}_b double" for n in inputs) + "".join(f", {n}_b double, {n}_p double, {n}_q double" for n in extra)
+    summed = part.groupBy(*keys, chunk).applyInPandas(summary, head + made)
 
     def carried(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(chunk)
-        for n, (_, a) in inputs.items():
-            state, out = np.nan, []
-            for count, x, b in zip(pdf[f"{n}_n"], pdf[f"{n}_x"], pdf[f"{n}_b"]):
-                out.append(state)
-                if count:
-                    state = b + (1 - a) ** count * (x if np.isnan(state) else state)
-            pdf[f"{n}_s"] = out
+        state, out = dict.fromkeys(names, np.nan), {n: [] for n in names}
+        for row in pdf.to_dict("records"):
+            for n in names:
+                out[n].append(state[n])
+            now = {n: row[f"{n}_x"] if np.isnan(state[n]) else state[n] for n in inputs}  # a key's first x stands for its state
+            for n, (one, two, a) in extra.items():
+                if count := row[f"{one}_n"]:
+                    before = 0.0 if np.isnan(state[n]) else state[n]
+                    state[n] = row[f"{n}_b"] + (1 - a) ** count * before + row[f"{n}_p"] * now[one] + row[f"{n}_q"] * now[two]
+            for n, (_, a) in inputs.items():
+                if count := row[f"{n}_n"]:
+                    state[n] = row[f"{n}_b"] + (1 - a) ** count * now[n]
+        for n in names:
+            pdf[f"{n}_s"] = out[n]
         return pdf[[*keys, chunk, *[f"{n}_s" for n in names]]]
 
     states = summed.groupBy(*keys).applyInPandas(carried, head + "".join(f", {n}_s double" for n in names))
 
     def final(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(order)
+        state = lambda n: float(right[f"{n}_s"].iloc[0]) if len(right) else np.nan
         for n, (x, a) in inputs.items():
-            left[n] = run(left[x].to_numpy(float), a, float(right[f"{n}_s"].iloc[0]) if len(right) else np.nan)
+            left[n] = run(left[x].to_numpy(float), a, state(n))
+        for n, (one, two, a) in extra.items():
+            left[n] = run((left[one] - left[two]).to_numpy(float), a, state(n))
         return left[[*columns, *names]]
 
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + "".join(f", {n} double" for n in names)
@@ -126,11 +149,10 @@ def with_recurrences(bars: DataFrame, chunk_ms: int = 7 * 86_400_000, fast: int
         "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)), "_i": F.row_number().over(_by()),
     })
     alpha = lambda k: 2 / (k + 1)
-    one = recurrence(rows, {
+    two = recurrence(rows, {
         "ema_fast": ("close", alpha(fast)), "ema_slow": ("close", alpha(slow)), "ema_trend": ("close", alpha(trend)),
         "_g": ("_gain", 1 / n), "_l": ("_loss", 1 / n), "_a": ("_tr", 1 / n),
-    }, "_chunk").withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
-    two = recurrence(one, {"macd_signal": ("macd", alpha(signal))}, "_chunk")
+    }, "_chunk", of_differences={"macd_signal": ("ema_fast", "ema_slow", alpha(signal))}).withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
     rs = F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.when(F.col("_l") != 0, F.col("_l"))))
     return two.select(
         *bars.columns, "ema_fast", "ema_slow", "ema_trend", F.when(F.col("_i") > n, rs).alias("rsi"), F.when(F.col("_i") >= n, F.col("_a")).alias("atr"), "macd", "macd_signal",
