@@ -68,7 +68,8 @@ def implausible_moves(prices: DataFrame, events: DataFrame, limit: float = 0.6)
 
 
 def validity(prices: DataFrame, tolerance_days: int = 180) -> DataFrame:
-    """First and last session of a ticker; the end is null unless the market went on for longer than the tolerance."""
+    """First and last session of a ticker; the end is null unless the market went on for longer than the tolerance. The
+    window over all has one row per ticker, of which there are thousands."""
     span = prices.groupBy("ticker").agg(F.min("trade_date").alias("valid_from"), F.max("trade_date").alias("last"))
     return span.withColumn("market", F.max("last").over(Window.partitionBy())).select(
         "ticker", "valid_from", F.when(F.datediff("market", "last") > tolerance_days, F.col("last")).alias("valid_to")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import ratio
@@ -91,3 +91,19 @@ def latest_unacknowledged(events: DataFrame, time_col: str = "triggered_at", id_
 
 def recent(events: DataFrame, n: int, time_col: str = "ts", id_col: str = "id") -> DataFrame:
     return events.orderBy(F.desc(time_col), F.desc(id_col)).limit(n)
+
+
+def correlations(bars: DataFrame, reference: str) -> DataFrame:
+    """Correlation of every other symbol's simple returns with the reference's, by time; null under three common returns or
+    without variance. A zero price gives no return."""
+    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
+    r = bars.select("symbol", "ts", F.when(prev != 0, F.col("close") / F.when(prev != 0, prev) - 1).alias("r")).dropna()
+    ref = r.filter(F.col("symbol") == reference).select("ts", F.col("r").alias("ref"))
+    varied = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("r") > 0) & (F.stddev_pop("ref") > 0)
+    return r.filter(F.col("symbol") != reference).join(ref, "ts").groupBy("symbol").agg(F.when(varied, F.corr("r", "ref")).alias("correlation"))
+
+
+def screen(symbols: DataFrame, tickers: DataFrame, bars: DataFrame, reference: str, n: int, least_volume: float, least_price: float, quote: str = "USDT") -> DataFrame:
+    """The n candidates of the largest volume, without the reference, with their correlation to it."""
+    top = top_by_volume(candidates(symbols, tickers, least_volume, least_price, quote), n, reference)
+    return top.join(correlations(bars, reference), "symbol", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import equities, flow, indicators, metrics
+from tidemark.operators import equities, flow, indicators, metrics, screening
 from tidemark.sources import adapters as src
 
 from .registry import Query, oracle_sql, queries, query, rounded  # noqa: F401
@@ -157,11 +157,7 @@ def a18_rate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {src.BARS}, r AS (SELECT symbol, ts, CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY ts) != 0 THEN close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 END AS r FROM bars)
     SELECT a.symbol, round(CASE WHEN count(*) >= 3 THEN corr(a.r, b.r) END, 6) AS correlation FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'S0' WHERE a.symbol != 'S0' AND a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1""")
 def a20_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    r = src.bars(spark, sf_dir).select("symbol", "ts", F.when(prev != 0, F.col("close") / F.when(prev != 0, prev) - 1).alias("r")).dropna()
-    ref = r.filter("symbol = 'S0'").select("ts", F.col("r").alias("ref"))
-    varied = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("r") > 0) & (F.stddev_pop("ref") > 0)
-    return r.filter("symbol != 'S0'").join(ref, "ts").groupBy("symbol").agg(F.round(F.when(varied, F.corr("r", "ref")), 6).alias("correlation"))
+    return rounded(screening.correlations(src.bars(spark, sf_dir), "S0"), 6, "correlation")
 
 
 @query(f"""WITH {src.TRADES}, e AS (SELECT *, (1000000 + sum(pnl) OVER o)::DOUBLE AS equity FROM trades WINDOW o AS (PARTITION BY run ORDER BY exit_ts, trade_id, leg ROWS UNBOUNDED PRECEDING)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, flow, indicators, models, signals
+from tidemark.operators import features, flow, indicators, models, screening, signals
 from tidemark.sources import adapters as src
 from tidemark.sources import readers, scratch
 from tidemark.streaming import flow as live
@@ -217,6 +217,20 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.fit_or_calibration(features.numbered(labelled), ["symbol"])
 
 
+@query(f"""WITH {src.BARS}, v AS (SELECT symbol, sum(price * quantity)::DOUBLE AS quote_volume, arg_max(price, (ts, id))::DOUBLE AS last_price FROM ticks GROUP BY 1),
+    top AS (SELECT * FROM v WHERE symbol NOT IN ('S0', 'S3') AND quote_volume >= 1000 AND last_price >= 1 ORDER BY quote_volume DESC, symbol LIMIT 5),
+    r AS (SELECT symbol, ts, CASE WHEN lag(close) OVER o != 0 THEN close / lag(close) OVER o - 1 END AS r FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+    c AS (SELECT a.symbol, CASE WHEN count(*) >= 3 THEN corr(a.r, b.r) END AS c FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'S0' WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1)
+    SELECT top.symbol, quote_volume, last_price, round(c, 6) AS correlation FROM top LEFT JOIN c USING (symbol)""")
+def c3_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog, floors, volume rank and correlation; S3 doesn't trade."""
+    t = src.ticks(spark, sf_dir)
+    tickers = t.groupBy("symbol").agg(F.sum(F.col("price") * F.col("quantity")).cast("double").alias("quote_volume"), F.max_by(F.col("price").cast("double"), F.struct("ts", "id")).alias("last_price"))
+    symbols = tickers.select("symbol", F.col("symbol").alias("base_asset"), F.lit("USDT").alias("quote_asset"), F.when(F.col("symbol") == "S3", "BREAK").otherwise("TRADING").alias("status"), F.lit(True).alias("is_spot_trading_allowed"))
+    out = screening.screen(symbols, tickers, bars(spark, sf_dir), "S0", 5, 1000.0, 1.0)
+    return rounded(out.select("symbol", "quote_volume", "last_price", "correlation"), 6, "correlation")
+
+
 MODEL_FEATURES = tuple(f for f in features.REQUIRED if not f.startswith("macd_signal"))
 
 
