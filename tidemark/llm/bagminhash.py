@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT, hot_join, row_of, unpacked, written
+from .common import HOT, hot_and_rest, hot_join, hot_keys, row_of, unpacked, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8, 28 bands of 4 miss a pair with a probability of 3e-7.
@@ -157,7 +157,7 @@ def _unpacked(packs: pd.Series) -> pd.Series:
 
 
 def signed(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
-    """One row per distinct text with a shingle: node, key (a number that stands for the node), buckets.
+    """One row per distinct text with a shingle: node, key (a number that stands for the node), buckets, n (rows with it).
 
     Copies meet by node alone, before any signature moves; the keys are fixed by writing them.
     """
@@ -185,7 +185,7 @@ def signed(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], names=["node", "buckets"])
 
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = texts.mapInArrow(sign, "node binary, buckets array<bigint>").dropDuplicates(["node"])
+    made = texts.mapInArrow(sign, "node binary, buckets array<bigint>").groupBy("node").agg(F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n"))
     return written(made.withColumn("key", F.monotonically_increasing_id()), "signed")
 
 
@@ -298,7 +298,10 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     total = members.count()
     met = written(members.groupBy("key").agg(F.sum("n").alias("met")), "met")
     texts = docs.select(_node(F.col(text_col)).alias("node"), _packed(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("pack"))
-    texts = written(texts.join(names.join(met.select("key"), "key"), "node").dropDuplicates(["node"]).select("key", "pack"), "texts")
+    wanted = written(signs.select("key", "node").join(met.select("key"), "key"), "wanted")
+    hot, rest = hot_and_rest(texts, wanted, "node", hot_keys(signs, "node", "n", signs.agg(F.sum("n")).first()[0] or 0))
+    one = lambda df: df.groupBy("key").agg(F.first("pack").alias("pack"))
+    texts = written(one(hot).unionByName(rest.dropDuplicates(["node"]).select("key", "pack")), "texts")
     leaders = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("a"), F.count(F.lit(1)).alias("size"))
     pairs = hot_join(members, written(leaders, "leaders"), "bucket", "size", total).filter("key != a")
     pairs = written(pairs.select("a", F.col("key").alias("b")).distinct(), "pairs")
@@ -306,8 +309,9 @@ def near_classes(docs: DataFrame, text_col: str = "text", similarity: float = SI
     comps = components(links)
     # Buckets that still hold several classes: their texts are joined exactly, by prefixes, across classes alone.
     held = members.select("bucket", "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
-    rest = hot_join(held, written(mixed.select("bucket", "size"), "mixed"), "bucket", "size", total).select("key", "comp").distinct()
+    mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+    some, others = hot_and_rest(held, written(mixed, "mixed"), "bucket", hot_keys(sizes, "bucket", "n", total))
+    rest = some.unionByName(others).select("key", "comp").distinct()
     across = prefix_pairs(texts.join(rest, "key"), similarity)
     across = across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(written(across, "across"), texts, similarity), "links")

@@ -86,15 +86,31 @@ def salt_count(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hot_keys(counts: DataFrame, key: str, size: str, total: int) -> list:
+    """The keys that more than HOT of all ``total`` rows have, by ``size`` in counts: fewer than 1000, whatever the data."""
+    return [r[0] for r in counts.filter(F.col(size) > HOT * total).select(key).collect()]
+
+
+def hot_and_rest(rows: DataFrame, groups: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame]:
+    """rows joined with groups, which has one light row per key: those of the hot keys, and the rest.
+
+    Groups of hot keys, fewer than 1000, are broadcast, so their rows stay where they are, and rows of hot keys without a
+    group go; all others are shuffled by key.
+    """
+    among = F.col(key).isin(hot) if hot else F.lit(False)
+    return rows.filter(among).join(F.broadcast(groups.filter(among)), key), rows.filter(~among).join(groups.filter(~among), key)
+
+
 def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows joined with groups, which has one light row per key and in ``size`` how many of the ``total`` rows have it.
+    """rows joined with groups, which holds every key of the rows that may be hot, and in ``size`` how many rows have it.
 
-    Groups of over HOT of all rows, fewer than 1000 whatever the data, are broadcast, so their rows stay where they are;
-    the others are shuffled by key. groups is read twice: pass a written table.
+    As hot_and_rest. groups is read several times: pass a written table.
     """
-    hot = F.broadcast(groups.filter(F.col(size) > HOT * total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(size) <= HOT * total), key)
-    return rows.join(hot, key).unionByName(rest)
+    hot = hot_keys(groups, key, size, total)
+    if not hot:
+        return rows.join(groups, key)
+    some, rest = hot_and_rest(rows, groups, key, hot)
+    return some.unionByName(rest)
 
 
 def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
