@@ -52,7 +52,7 @@ class _Words(dict):
     """Hash of every word met so far; starts anew when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
         h = _word_hash(word)
         if len(word) <= 64:
