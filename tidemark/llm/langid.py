@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import passing, row_of, slices, unpacked
+from .common import passing, row_of, slices, unpacked, written
 
 #: Bounds on what is learned from: documents, of every language alike, and windows of their texts, in characters.
 MAX_DOCUMENTS, MAX_WINDOWS, WINDOW = 3000, 12_000, 80
@@ -198,27 +198,29 @@ def learn(
 ) -> Tagger | None:
     """A tagger from labelled documents that aren't held out: windows of WINDOW characters from anywhere in their texts.
 
-    Every language may give the same number of documents, those with the smallest hashes of ids, and of windows, so rare
-    languages are learned too; max_documents and max_windows bound them over all languages, but a language always gives
-    one. Ids are drawn first and their texts (all, if an id repeats) looked up by a broadcast of that size. Texts are cut
-    into windows by Spark, which keeps the drawn ones. Rows without an id, text or label are not learned from.
+    Every language gives about the same number of documents, and of windows, so rare languages are learned too; together
+    about max_documents and max_windows at most. A language's share is drawn by a threshold on hashes, of different ids and
+    then of different windows, so nothing is ranked or gathered on the way and copies count once. Drawn ids are broadcast
+    to find their texts, which Spark cuts into windows. Rows without an id, text or label are not learned from.
     """
     ok = F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False))
     able = docs.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    languages = able.select("y").distinct().count()
-    if not languages:
-        return None
 
-    def drawn(df: DataFrame, most: int, *order) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("y").orderBy(*order))
-        return df.withColumn("k", rank).filter(F.col("k") <= max(1, most // languages)).drop("k")
+    def drawn(df: DataFrame, most: int, on: str) -> DataFrame:
+        """About most / languages of every language's rows."""
+        per = df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
+        quota = most / max(1, len(per))
+        shares = df.sparkSession.createDataFrame([(r.y, min(1.0, quota / r.n)) for r in per], "y string, share double")
+        known = df.join(F.broadcast(shares), "y")
+        return known.filter(F.pmod(F.xxhash64(on, F.lit(most)), F.lit(1 << 30)) < F.col("share") * float(1 << 30)).drop("share")
 
-    some = able.join(F.broadcast(drawn(able.select("y", "i"), max_documents, F.xxhash64("i"), "i")), ["i", "y"], "left_semi")
+    ids = able.select(F.col("y").cast("string").alias("y"), "i").distinct()
+    some = able.join(F.broadcast(drawn(ids, max_documents, "i")), ["i", "y"], "left_semi")
     places = F.sequence(F.lit(0), F.expr(f"(length(t) - 1) div {WINDOW}"))
-    cut = some.filter("length(t) > 0").select("y", "i", "t", F.explode(places).alias("at"))
-    cut = cut.select("y", F.xxhash64("i", "at").alias("h"), F.substring("t", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("t"))
-    rows = drawn(cut, max_windows, "h", "t").select("t", "y").collect()
-    return train(sorted((r.t.encode(), r.y) for r in rows))
+    cut = some.filter("length(t) > 0").select("y", F.explode(places).alias("at"), "t")
+    cut = cut.select("y", F.substring("t", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("t")).distinct()
+    rows = drawn(written(cut, "windows"), max_windows, "t").select("t", "y").collect()
+    return train(sorted((r.t.encode(), r.y) for r in rows)) if rows else None
 
 
 def identify(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
