@@ -1,4 +1,4 @@
-"""The contract queries of the ten operators: thin digests over whole tables, and SQL where it can express them."""
+"""The contract queries of the operators: thin digests over whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
+from . import bagminhash, byte_codec, exact_dedup, importance, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
 from .common import shared_dir, table
 
 
@@ -72,6 +72,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return byte_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,13 +92,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_license_scan, op2_piece_codec, op3_warc, op4_pii, op5_mixing, op6_exact_dedup, op7_quality, op8_token_counts, op9_language_id,
-        op10_near_duplicates, pipeline,
+        op10_near_duplicates, op11_byte_codec, op12_importance, pipeline,
     ]
     return {f.__name__: f for f in named}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = rf"regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB has no CRC-32: a table of 256 steps, then a fold over the bytes of every distinct word.
+_IMPORTANCE = f"""
+    WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+    w AS (SELECT true AS raw, doc_id, unnest({_WORDS}) AS word FROM documents UNION ALL SELECT false, NULL, unnest({_WORDS}) FROM benchmark),
+    h AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+    b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+    c AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM w JOIN b USING (word) GROUP BY 1),
+    g AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+    d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE raw GROUP BY 1),
+    x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN d USING (doc_id)),
+    y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+    SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)"""
+
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -112,4 +139,5 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
             FROM d JOIN g USING (norm)""",
+        "op12_importance": _IMPORTANCE,
     }
