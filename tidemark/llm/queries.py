@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, byte_codec, exact_dedup, importance, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
+from . import bagminhash, byte_codec, collocations, exact_dedup, importance, langid, license_scan, mixing, pii, piece_codec, quality, token_tree, warc
 from .common import shared_dir, table
 
 
@@ -83,6 +83,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_license_scan, op2_piece_codec, op3_warc, op4_pii, op5_mixing, op6_exact_dedup, op7_quality, op8_token_counts, op9_language_id,
-        op10_near_duplicates, op11_byte_codec, op12_importance, pipeline,
+        op10_near_duplicates, op11_byte_codec, op12_importance, op13_collocations, pipeline,
     ]
     return {f.__name__: f for f in named}
 
@@ -115,6 +119,19 @@ _IMPORTANCE = f"""
     r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
     SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)"""
 
+_COLLOCATIONS = rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORM}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x != '') AS w FROM p),
+    f AS (SELECT lang, g, count(*) AS a FROM (SELECT lang, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM w) GROUP BY ALL),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+    c AS (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND a >= 10),
+    s AS (SELECT c.lang, c.g, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+    b AS (SELECT lang, g, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM s GROUP BY ALL),
+    i AS (SELECT lang, q, max(a) AS longer FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS q, a FROM b WHERE len(g) = 3) GROUP BY ALL),
+    o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.q = b.g WHERE longer IS NULL OR 100 * longer < 50 * a)
+    SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -140,4 +157,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
             FROM d JOIN g USING (norm)""",
         "op12_importance": _IMPORTANCE,
+        "op13_collocations": _COLLOCATIONS,
     }
