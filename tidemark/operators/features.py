@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators
-from .running import running
+from . import running
+from .running import previous
 
 #: Features that a model needs; a row that lacks one is warming up.
 REQUIRED = (
@@ -42,8 +43,8 @@ def on_finished_buckets(bars: DataFrame, coarse_rows: DataFrame, bucket_ms: int,
 
     cols maps columns of coarse_rows to new names; nulls replace older values, as a bucket without a value has none.
     """
-    w = Window.partitionBy("symbol").orderBy("ts")
-    before = coarse_rows.select("symbol", F.col("ts").alias("_bucket"), *[F.lag(c).over(w).alias(n) for c, n in cols.items()])
+    seen = previous(coarse_rows, ["symbol"], F.expr(f"ts div {max(indicators.DAY_MS, 1000 * bucket_ms)}"), ["ts"], list(cols), "_prev")
+    before = seen.select("symbol", F.col("ts").alias("_bucket"), *[F.col(f"_prev.{c}").alias(n) for c, n in cols.items()])
     return bars.withColumn("_bucket", F.expr(f"ts div {bucket_ms}") * bucket_ms).join(before, ["symbol", "_bucket"], "left").drop("_bucket")
 
 
@@ -52,7 +53,7 @@ def multi_timeframe(bars: DataFrame, frames: dict[str, int]) -> DataFrame:
     out = bars
     for name, ms in frames.items():
         rows = coarse(bars, ms)
-        held = indicators.with_recurrences(rows, chunk_ms=max(7 * 86_400_000, 50 * ms)).withColumn("pct_b", indicators.bollinger()["pct_b"])
+        held = indicators.plain(indicators.with_halo(indicators.with_recurrences(rows)).withColumn("pct_b", indicators.bollinger()["pct_b"]))
         out = on_finished_buckets(out, held, ms, {"rsi": f"rsi_{name}", "pct_b": f"pct_b_{name}"})
     return out
 
@@ -64,9 +65,7 @@ def relative_strength(bars: DataFrame, reference: str, n: int = 15, allow_exact_
     from its bar (or, if exact matches aren't allowed, from after it) until the next one. A null return replaces the one
     before, as the reference may be warming up.
     """
-    w = Window.partitionBy("symbol").orderBy("ts")
-    ret = F.lag("close", n).over(w)
-    rows = bars.withColumn("own_return", F.when(ret != 0, F.col("close") / F.when(ret != 0, ret) - 1))
+    rows = indicators.plain(indicators.with_halo(bars, n).withColumn("own_return", indicators.window_return("close", n)))
     ref = rows.filter(F.col("symbol") == reference).select("ts", F.struct(F.col("own_return").alias("r")).alias("ref"), F.lit(0 if allow_exact_match else 1).alias("side"), F.lit(None).cast("string").alias("symbol"))
     mine = rows.filter(F.col("symbol") != reference)
     # Times, not rows: each distinct time takes the latest return before it, and bars join their time.
@@ -81,18 +80,22 @@ def relative_strength(bars: DataFrame, reference: str, n: int = 15, allow_exact_
     return mine.join(known, "ts").withColumn("relative_strength", F.col("own_return") - F.col("reference_return"))
 
 
-def merged_streams(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Two symbols' bars as one stream with its place in time; at one time the first one's bar comes first."""
-    both = one.withColumn("_side", F.lit(0)).unionByName(two.withColumn("_side", F.lit(1)))
-    return both.withColumn("arrival", F.struct("ts", "_side")).drop("_side")
+def merged_streams(one: DataFrame, two: DataFrame, chunk_ms: int = indicators.DAY_MS) -> DataFrame:
+    """Two symbols' bars as one stream with ``place``, their order from 1; at one time the first one's bar comes first. Places
+    are counted by days and carried over days."""
+    both = one.withColumn("_side", F.lit(0)).unionByName(two.withColumn("_side", F.lit(1))).withColumn("_all", F.lit(0))
+    placed = running.running(both, ["_all"], F.expr(f"ts div {chunk_ms}"), ["ts", "_side"], F.lit(1), "sum", "place")
+    return placed.withColumn("place", F.col("place").cast("long")).drop("_side", "_all")
 
 
-def feature_table(bars: DataFrame) -> DataFrame:
-    """bars with indicators, price-relative features, cyclical time, volatility and relative volume."""
-    rows = price_relative(indicators.with_recurrences(bars))
+def feature_table(bars: DataFrame, frames: dict[str, int] | None = None, reference: str | None = None) -> DataFrame:
+    """bars with indicators, price-relative features, cyclical time, volatility and relative volume; with rsi_<name> and
+    pct_b_<name> of each coarser frame, and, given a reference symbol, which then has no rows of its own, relative strength."""
+    rows = bars if reference is None else relative_strength(bars, reference).drop("own_return", "reference_return")
+    rows = price_relative(indicators.with_recurrences(multi_timeframe(rows, frames or {})))
     b = indicators.bollinger()
-    rows = rows.withColumns({"pct_b": b["pct_b"], "bb_mid": b["bb_mid"], "bb_upper": b["bb_upper"], "bb_lower": b["bb_lower"], "rel_volume": indicators.relative_volume(), "ret15": indicators.window_return()})
-    return indicators.realized_volatility(rows).withColumns(indicators.cyclical_time())
+    rows = indicators.with_halo(rows).withColumns({"pct_b": b["pct_b"], "bb_mid": b["bb_mid"], "bb_upper": b["bb_upper"], "bb_lower": b["bb_lower"], "rel_volume": indicators.relative_volume(), "ret15": indicators.window_return()})
+    return indicators.plain(indicators.volatility_within(rows)).withColumns(indicators.cyclical_time())
 
 
 def warm(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
@@ -113,13 +116,13 @@ def chart_feed(features: DataFrame, n: int = 500) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """rows with ``i``, their number in the symbol from 0, counted by day and carried over days."""
-    return running(rows, ["symbol"], F.expr("ts div 86400000"), ["ts"], F.lit(1), "sum", "i").withColumn("i", (F.col("i") - 1).cast("long"))
+    return running.numbered(rows, ["symbol"], F.expr(f"ts div {indicators.DAY_MS}"), ["ts"])
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, warmup: int = 40) -> DataFrame:
     """Rows of every fold's test range with the warm-up rows before it: part is warmup or test. Folds are a few a symbol."""
     f = folds.select("symbol", "fold", "test_start", "test_end")
-    near = numbered(rows).join(F.broadcast(f), "symbol").filter((F.col("i") >= F.col("test_start") - warmup) & (F.col("i") < F.col("test_end")))
+    near = numbered(rows).join(f, "symbol").filter((F.col("i") >= F.col("test_start") - warmup) & (F.col("i") < F.col("test_end")))
     return near.withColumn("part", F.when(F.col("i") < F.col("test_start"), "warmup").otherwise("test")).drop("test_start", "test_end")
 
 
@@ -135,6 +138,6 @@ def fit_or_calibration(rows: DataFrame, keys: list[str], fraction: float = 0.2)
 def hold_and_flat(bars: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
     """Equity curves of buying at the first close and holding, and of doing nothing."""
     first = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("_first"))
-    rows = bars.select("symbol", "ts", "close").join(F.broadcast(first), "symbol")
+    rows = bars.select("symbol", "ts", "close").join(first, "symbol")
     hold = F.when(F.col("_first") > 0, capital * F.col("close") / F.when(F.col("_first") > 0, F.col("_first"))).otherwise(capital)
     return rows.select("symbol", "ts", hold.alias("hold"), F.lit(capital).alias("flat"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import previous, running
+from .running import BLOCK, block_window, haloed, inside, previous, running
 
 DAY_MS = 86_400_000
 
@@ -89,8 +89,8 @@ def arrival_rates(rows: DataFrame, every_ms: int = 30_000, last: int = 1000) ->
 
     Samples whose messages all have one time are dropped, as are those before ``last`` messages have come.
     """
-    w = Window.partitionBy("symbol").orderBy("ts", "id")
-    seen = rows.select("symbol", "ts", "id", F.lag("ts", last - 1).over(w).alias("first"))
+    held = haloed(rows.select("symbol", "ts", "id"), ["symbol"], F.expr(f"ts div {DAY_MS}"), ["ts", "id"], last - 1, size=max(BLOCK, last))
+    seen = inside(held.withColumn("first", F.lag("ts", last - 1).over(block_window(["symbol"], ["ts", "id"]))))
     top = seen.groupBy("symbol", _bucket("ts", every_ms).alias("bucket")).agg(F.max_by(F.struct("ts", "first"), F.struct("ts", "id")).alias("x"))
     span = F.col("x.ts") - F.col("x.first")
     return top.filter(span > 0).select("symbol", "bucket", span.alias("span_ms"), (last * 1000 / span).alias("per_second"))
@@ -100,6 +100,8 @@ def capture_freshness(counts: DataFrame, floors: DataFrame) -> DataFrame:
     """Rows per captured table, environment and day against the floor of floors (table, environment, floor): every day of
     the counts is held against every floor, so a table without a row on a day shows 0 and isn't ok."""
     days = counts.select("day").distinct()
-    due = days.join(F.broadcast(floors))  # floors are a handful of settings
+    # Floors are settings; each takes all days as one array, of an entry per day.
+    every = days.agg(F.collect_set("day").alias("days"))
+    due = floors.withColumn("_all", F.lit(0)).join(every.withColumn("_all", F.lit(0)), "_all").select("table", "environment", "floor", F.explode("days").alias("day"))
     held = due.join(counts, ["table", "environment", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return held.select("table", "environment", "day", "n", "floor", (F.col("n") >= F.col("floor")).alias("ok"))

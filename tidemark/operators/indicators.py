@@ -1,15 +1,35 @@
-"""Technical indicators: windows where Spark has them, a chunked affine scan for linear recurrences."""
+"""Technical indicators: windows over blocks of rows with a halo, a chunked affine scan for linear recurrences.
+
+sma, bollinger, relative_volume, log_return and window_return are columns of with_halo() rows, in which a symbol's blocks
+lie apart; plain() ends that. realized_volatility, with_recurrences and triple_barrier take and give plain bars.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import BLOCK, block_window, haloed, inside
+
+DAY_MS = 86_400_000
+#: Rows before a row that the windows of this module reach with their usual lengths.
+REACH = 21
+
+
+def with_halo(bars: DataFrame, before: int = REACH, after: int = 0, size: int = BLOCK) -> DataFrame:
+    """Bars in blocks of rows of their symbol, with the rows that frames of a block reach outside it."""
+    return haloed(bars, ["symbol"], F.expr(f"ts div {DAY_MS}"), ["ts"], before, after, size)
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Bars without what with_halo added."""
+    return inside(rows)
+
 
 def _by():
-    return Window.partitionBy("symbol").orderBy("ts")
+    return block_window(["symbol"], ["ts"])
 
 
 def _full(n: int, value: Column, frame) -> Column:
@@ -48,9 +68,14 @@ def window_return(c: str = "close", n: int = 15) -> Column:
     return F.when(base != 0, F.col(c) / F.when(base != 0, base) - 1)
 
 
-def realized_volatility(bars: DataFrame, n: int = 20, c: str = "close") -> DataFrame:
+def volatility_within(rows: DataFrame, n: int = 20, c: str = "close") -> DataFrame:
+    """with_halo rows, of n rows before or more, with the population deviation of the last n log returns."""
     frame = _by().rowsBetween(-(n - 1), 0)
-    return bars.withColumn("_r", log_return(c)).withColumn("realized_vol", F.when(F.count("_r").over(frame) >= n, F.stddev_pop("_r").over(frame))).drop("_r")
+    return rows.withColumn("_r", log_return(c)).withColumn("realized_vol", F.when(F.count("_r").over(frame) >= n, F.stddev_pop("_r").over(frame))).drop("_r")
+
+
+def realized_volatility(bars: DataFrame, n: int = 20, c: str = "close") -> DataFrame:
+    return plain(volatility_within(with_halo(bars, n), n, c))
 
 
 def cyclical_time(ts: str = "ts") -> dict[str, Column]:
@@ -139,15 +164,17 @@ def recurrence(
     return df.groupBy(*keys, chunk).cogroup(states.groupBy(*keys, chunk)).applyInPandas(final, schema)
 
 
-def with_recurrences(bars: DataFrame, chunk_ms: int = 7 * 86_400_000, fast: int = 12, slow: int = 26, trend: int = 240, signal: int = 9, n: int = 14) -> DataFrame:
-    """EMA, RSI, ATR, MACD and trend regime. Averages of gains and losses start at the first change; RSI is null until
-    n changes and 100 without losses; the first true range is high - low, and ATR is null until n bars."""
+def with_recurrences(bars: DataFrame, size: int = BLOCK, fast: int = 12, slow: int = 26, trend: int = 240, signal: int = 9, n: int = 14) -> DataFrame:
+    """EMA, RSI, ATR, MACD and trend regime, in blocks of ``size`` bars. Averages of gains and losses start at the first
+    change; RSI is null until n changes and 100 without losses; the first true range is high - low, and ATR is null until n
+    bars."""
     prev = F.lag("close").over(_by())
     change = F.col("close") - prev
-    rows = bars.withColumns({
-        "_chunk": F.expr(f"ts div {chunk_ms}"), "_gain": F.greatest(change, F.when(change.isNotNull(), 0.0)), "_loss": F.greatest(-change, F.when(change.isNotNull(), 0.0)),
-        "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)), "_i": F.row_number().over(_by()),
+    rows = with_halo(bars, 1, size=size).withColumns({
+        "_gain": F.greatest(change, F.when(change.isNotNull(), 0.0)), "_loss": F.greatest(-change, F.when(change.isNotNull(), 0.0)),
+        "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)), "_chunk": F.col("_block"), "_n": F.col("_i") + 1,
     })
+    rows = plain(rows)
     alpha = lambda k: 2 / (k + 1)
     two = recurrence(rows, {
         "ema_fast": ("close", alpha(fast)), "ema_slow": ("close", alpha(slow)), "ema_trend": ("close", alpha(trend)),
@@ -155,7 +182,7 @@ def with_recurrences(bars: DataFrame, chunk_ms: int = 7 * 86_400_000, fast: int
     }, "_chunk", of_differences={"macd_signal": ("ema_fast", "ema_slow", alpha(signal))}).withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
     rs = F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.when(F.col("_l") != 0, F.col("_l"))))
     return two.select(
-        *bars.columns, "ema_fast", "ema_slow", "ema_trend", F.when(F.col("_i") > n, rs).alias("rsi"), F.when(F.col("_i") >= n, F.col("_a")).alias("atr"), "macd", "macd_signal",
+        *bars.columns, "ema_fast", "ema_slow", "ema_trend", F.when(F.col("_n") > n, rs).alias("rsi"), F.when(F.col("_n") >= n, F.col("_a")).alias("atr"), "macd", "macd_signal",
         (F.col("macd") - F.col("macd_signal")).alias("macd_hist"), ((F.col("close") - F.col("ema_trend")) / F.col("close")).alias("trend_regime_pct"),
     )
 
@@ -167,17 +194,20 @@ def triple_barrier(bars: DataFrame, horizon: int = 12, target: float | Column =
     ahead = F.collect_list(F.struct("high", "low")).over(frame)
     up, down = F.col("close") * (1 + target), F.col("close") * (1 - stop)
     hits = F.transform("_a", lambda b: F.when(b["low"] <= down, 0).when(F.coalesce(b["high"] >= up, F.lit(False)), 1).otherwise(2))
-    rows = bars.withColumn("_a", ahead).filter(F.size("_a") == horizon)
+    rows = plain(with_halo(bars, 0, horizon).withColumn("_a", ahead)).filter(F.size("_a") == horizon)
     return rows.withColumn("label", F.coalesce(F.get(F.filter(hits, lambda x: x < 2), F.lit(0)), F.lit(0))).drop("_a")
 
 
 def walk_forward(rows: DataFrame, folds: int = 5, first: float = 0.4, purge: int = 12) -> DataFrame:
-    """symbol, fold, train_end (exclusive, purged), test_start, test_end (exclusive) over row numbers from 0."""
+    """symbol, fold, train_end (exclusive, purged), test_start, test_end (exclusive) over row numbers from 0. A symbol with too
+    few rows for a test row in every fold is an error."""
     n = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     lead = F.floor(F.col("n") * first)
     size = F.floor((F.col("n") - lead) / folds)
+    few = F.raise_error(F.concat(F.lit("too few rows to walk forward: "), F.coalesce("symbol", F.lit("null")))).cast("bigint")
+    held = n.withColumn("size", F.when(size > 0, size).otherwise(few))
     f = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    return n.withColumn("fold", f).filter(size > 0).select(
-        "symbol", "fold", F.greatest(F.lit(0), lead + F.col("fold") * size - purge).alias("train_end"), (lead + F.col("fold") * size).alias("test_start"),
-        F.when(F.col("fold") == folds - 1, F.col("n")).otherwise(lead + (F.col("fold") + 1) * size).alias("test_end"),
+    return held.withColumn("fold", f).select(
+        "symbol", "fold", F.greatest(F.lit(0), lead + F.col("fold") * F.col("size") - purge).alias("train_end"), (lead + F.col("fold") * F.col("size")).alias("test_start"),
+        F.when(F.col("fold") == folds - 1, F.col("n")).otherwise(lead + (F.col("fold") + 1) * F.col("size")).alias("test_end"),
     )

@@ -11,6 +11,9 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import DAY_MS
+from .running import previous
+
 
 @dataclass
 class Scorer:
@@ -59,9 +62,10 @@ def brier_score(probability: str = "probability") -> Column:
 
 
 def score_noise(scored: DataFrame, keys: list[str], order: str = "ts") -> DataFrame:
-    """Population deviation of the differences between consecutive scores; 0 with fewer than two differences."""
-    step = F.col("score") - F.lag("score").over(Window.partitionBy(*keys).orderBy(order))
-    rows = scored.withColumn("_d", step).groupBy(*keys)
+    """Population deviation of the differences between consecutive scores; 0 with fewer than two differences. order is a time
+    in milliseconds."""
+    seen = previous(scored.select(*keys, order, "score"), keys, F.expr(f"{order} div {DAY_MS}"), [order], ["score"], "_prev")
+    rows = seen.withColumn("_d", F.col("score") - F.col("_prev.score")).groupBy(*keys)
     return rows.agg(F.when(F.count("_d") > 1, F.stddev_pop("_d")).otherwise(0.0).alias("noise"))
 
 

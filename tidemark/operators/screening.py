@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import ratio
+from .running import previous
 
 #: Endings of leveraged tokens, and base assets that are pegged.
 LEVERAGED = ("UP", "DOWN", "BULL", "BEAR")
@@ -96,7 +97,8 @@ def recent(events: DataFrame, n: int, time_col: str = "ts", id_col: str = "id")
 def correlations(bars: DataFrame, reference: str) -> DataFrame:
     """Correlation of every other symbol's simple returns with the reference's, by time; null under three common returns or
     without variance. A zero price gives no return."""
-    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
+    prev = F.col("_prev.close")
+    bars = previous(bars.select("symbol", "ts", "close"), ["symbol"], F.expr("ts div 86400000"), ["ts"], ["close"], "_prev")
     r = bars.select("symbol", "ts", F.when(prev != 0, F.col("close") / F.when(prev != 0, prev) - 1).alias("r")).dropna()
     ref = r.filter(F.col("symbol") == reference).select("ts", F.col("r").alias("ref"))
     varied = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("r") > 0) & (F.stddev_pop("ref") > 0)

@@ -68,10 +68,9 @@ def a3_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(close / base - 1, 6) AS ret15 FROM w""")
 def w1_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = indicators.bollinger()
-    out = src.bars(spark, sf_dir).select(
-        "symbol", "ts", indicators.sma("close", 20).alias("sma"), b["bb_upper"].alias("bb_upper"), b["pct_b"].alias("pct_b"),
-        indicators.relative_volume().alias("rel_volume"), indicators.window_return().alias("ret15"),
-    )
+    out = indicators.plain(indicators.with_halo(src.bars(spark, sf_dir)).withColumns({
+        "sma": indicators.sma("close", 20), "bb_upper": b["bb_upper"], "pct_b": b["pct_b"], "rel_volume": indicators.relative_volume(), "ret15": indicators.window_return(),
+    })).select("symbol", "ts", "sma", "bb_upper", "pct_b", "rel_volume", "ret15")
     return rounded(out, 6, "sma", "bb_upper", "pct_b", "rel_volume", "ret15")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, flow, indicators, models, screening, signals
@@ -84,8 +84,9 @@ def p10_price_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {src.BARS}, b AS ({_PCT_B.format('bars')}) SELECT symbol, ts, round(mid, 6) AS bb_mid, round(mid + 2 * dev, 6) AS bb_upper, round(mid - 2 * dev, 6) AS bb_lower FROM b")
 def w2_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = indicators.bollinger()
-    return bars(spark, sf_dir).select("symbol", "ts", *[F.round(b[c], 6).alias(c) for c in ("bb_mid", "bb_upper", "bb_lower")])
+    cols = ["bb_mid", "bb_upper", "bb_lower"]
+    held = indicators.with_halo(bars(spark, sf_dir)).withColumns({c: indicators.bollinger()[c] for c in cols})
+    return rounded(indicators.plain(held).select("symbol", "ts", *cols), 6, *cols)
 
 
 _COARSE = f"coarse AS (SELECT symbol, ts // {_COARSE_MS} * {_COARSE_MS} AS ts, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
@@ -115,16 +116,14 @@ def j11_relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {src.BARS} SELECT symbol, ts, row_number() OVER (ORDER BY ts, CASE symbol WHEN 'S0' THEN 0 ELSE 1 END) AS place FROM bars WHERE symbol IN ('S0', 'S1')")
 def u1_merged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    both = features.merged_streams(b.filter("symbol = 'S0'"), b.filter("symbol = 'S1'"))
-    place = F.row_number().over(Window.orderBy("arrival"))  # two symbols' bars
-    return both.select("symbol", "ts", place.cast("long").alias("place"))
+    return features.merged_streams(b.filter("symbol = 'S0'"), b.filter("symbol = 'S1'")).select("symbol", "ts", "place")
 
 
 @query(f"""WITH RECURSIVE {src.BARS}, {_recursion('bars', 's')}, b AS ({_PCT_B.format('bars')}), f AS (SELECT s.symbol, s.ts, {_RSI.format('s')} AS rsi, pct_b, (s.close - t) / s.close AS trend FROM s JOIN b ON b.symbol = s.symbol AND b.ts = s.ts)
     SELECT symbol, ts, coalesce(round(rsi, 6) < 40 AND round(pct_b, 6) <= 0.2 AND round(trend, 6) >= -0.5, false) AS enter, coalesce(round(rsi, 6) >= 50, false) AS exit FROM f""")
 def p15_gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule strategy under a regime gate."""
-    rows = indicators.with_recurrences(bars(spark, sf_dir)).withColumn("pct_b", indicators.bollinger()["pct_b"])
+    rows = indicators.plain(indicators.with_halo(indicators.with_recurrences(bars(spark, sf_dir))).withColumn("pct_b", indicators.bollinger()["pct_b"]))
     rows = rounded(rows, 6, "rsi", "pct_b", "trend_regime_pct")
     s = signals.Strategy((F.col("rsi") < 40) & (F.col("pct_b") <= 0.2), F.col("rsi") >= 50, F.lit(0.02)).gated(signals.regime_gate(-0.5))
     return s.signals(rows).select("symbol", "ts", "enter", "exit")
@@ -136,7 +135,8 @@ _SCORED = f"b AS ({_PCT_B.format('bars')}), z AS (SELECT symbol, ts, round(pct_b
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place between the bands as a score, and every 17th hour as a label."""
     label = F.when(F.expr(f"ts div {src.HOUR_MS} % 17 = 0"), 1).otherwise(0)
-    return bars(spark, sf_dir).select("symbol", "ts", F.round(indicators.bollinger()["pct_b"], 6).alias("score"), label.alias("label"))
+    rows = indicators.plain(indicators.with_halo(bars(spark, sf_dir)).withColumn("score", F.round(indicators.bollinger()["pct_b"], 6)))
+    return rows.select("symbol", "ts", "score", label.alias("label"))
 
 
 @query(f"WITH {src.BARS}, {_SCORED} SELECT symbol, ts, coalesce(score >= 0.9, false) AS enter, coalesce(score < 0.1, false) AS exit FROM z")
