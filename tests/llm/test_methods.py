@@ -317,3 +317,14 @@ def test_language_query_predicts_held_out_documents(spark):
     lang = {r["doc_id"]: r["lang"] for r in rows_of("documents")}
     test = [r for r in rows if r.held_out]
     assert len(rows) == len(lang) and sum(lang[r.doc_id] == r.lang_pred for r in test) >= 0.97 * len(test) > 0
+
+
+def test_long_secrets_are_proposed_whole(spark):
+    """No span ends before what it names does, however long that is."""
+    from tidemark.llm import pii
+
+    long = "aB3_" * 75
+    texts = ["ghp_" + long, 'set pwd="' + long + '" now', "token=" + long, "x" * 300 + " [at] " + "mail-" * 20 + "host.example (dot) org"]
+    rows = pii.candidates(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string"), "text", ["doc_id"]).collect()
+    spans = {r.r.doc_id: {(c.start, c.end) for c in r.c} for r in rows}
+    assert (0, 304) in spans[0] and (9, 309) in spans[1] and (0, 306) in spans[2] and (0, len(texts[3])) in spans[3]

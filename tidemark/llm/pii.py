@@ -48,14 +48,14 @@ class Kind:
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"^[A-Za-z0-9][A-Za-z0-9._%+-]*(@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9.-]+(\.|\x20?[(\[](?i:dot)[)\]]\x20?| (?i:dot) )[A-Za-z]{2,}$",
          r"\.(com|org|net|edu|gov|io|de|fr|es|uk|eu)$", "mail|contact|write|correo|kontakt", (6, 64),
-         listed=r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z]{2,24}+)+", hint=r"[(\[](?i:at)[)\]]"),
+         listed=r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z]{2,24}+)+", hint=r"[(\[](?i:at)[)\]]"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"^([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})(\.([1-9]?[0-9]|1[0-9]{2}|2[0-5]{2})){3}$", r"^(10|127|172|192)\.", "ip|host|server|address|addr", (7, 15)),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$", r"^(4|5[1-5]|3[47]|6)", "card|visa|credit|karte|tarjeta|carte", (15, 19)),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$", r"^\+(1|33|34|44|49)\b", "phone|call|tel|mobile|fax", (10, 20),
          cued=r"(?<=(?i:phone|telephone|tel|call|mobile|fax|handy)[.:]{0,2}\x20{0,2})(?:\([0-9]{2,4}\)|[0-9]{2,5})(?:[\x20.-]?[0-9]{2,4}){2,4}+(?![0-9])", hint="(?i:phone|tel|call|mobile|fax|handy)[.:\x20]{0,4}[(0-9]"),
     Kind("secret", r"(?i:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{8,}+\"?", r"[0-9]", r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza|(?i:password=|token = \"))", "key|secret|login", (16, 80),
-         listed=r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|(?<![A-Za-z0-9_-])(?:gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]{16,200}+",
-         cued=r"(?<=(?i:pwd|credential|credentials|passwort|clave|access_key|private_key|auth)\x20?[=:]\x20?\"?)[A-Za-z0-9_/+-]{8,200}+", hint=r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza|(?i:pwd|credential|passwort|clave|_key|auth)"),
+         listed=r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|(?<![A-Za-z0-9_-])(?:gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}+",
+         cued=r"(?<=(?i:pwd|credential|credentials|passwort|clave|access_key|private_key|auth)\x20?[=:]\x20?\"?)[A-Za-z0-9_/+-]{8,}+", hint=r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|sk_live_|AIza|(?i:pwd|credential|passwort|clave|_key|auth)"),
     Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+", r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}[ 0-9]{7,}$", r"^(DE|FR|ES|GB|IT|NL|CH|AT|BE)", "iban|account|konto|cuenta|bank", (15, 42),
          cued=r"(?<=(?i:iban)[:\x20]{0,3})[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?(?![A-Z0-9])", hint="(?i:iban)"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-?(?!00)[0-9]{2}-?(?!0000)[0-9]{4}$", r"^[0-6]", "ssn|social|security", (9, 11),
