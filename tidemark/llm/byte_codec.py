@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, arrow_rows, passing, row_of, shared_dir, slices, unpacked
+from .common import ARROW_ROWS, BATCH_ROWS, arrow_rows, passing, row_of, shared_dir, slices, unpacked
 
 #: A block is closed when it holds so many distinct words or so many characters.
-BLOCK_WORDS, BLOCK_CHARS = 1 << 18, 1 << 25
+BLOCK_WORDS, BLOCK_CHARS = 1 << 19, 1 << 25
 #: Words of a row of a block's list; places of a document that are turned into ids at one time; rows of words packed together.
 _LISTED, _STRETCH, _PACKED = 4096, 1 << 16, 200_000
 #: Longest word, in bytes, that is merged in an array with others of its length.
@@ -45,6 +45,27 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def short_bytes(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in seven bits a byte, the lowest first; all bytes of a number but its last have the eighth bit."""
+    many = np.ones(len(numbers), np.int64)
+    for k in range(1, 5):
+        many += numbers >= 1 << 7 * k
+    at = np.repeat(np.cumsum(many) - many, many)
+    nth = np.arange(len(at)) - at
+    bits = (np.repeat(numbers, many) >> 7 * nth) & 127
+    return (bits | np.where(nth + 1 < np.repeat(many, many), 128, 0)).astype(np.uint8).tobytes()
+
+
+def from_short_bytes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = raw < 128
+    if last.all():
+        return raw.astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    nth = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * nth, starts)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at starts and have the given sizes, one after the other."""
     ends = np.cumsum(sizes)
@@ -176,7 +197,8 @@ def blocks(docs: DataFrame, text_col: str, pattern: str, keep: list[str]) -> Dat
     """Rows of documents (block, r, places) and of words (block, first, words), written in buckets of blocks.
 
     A block has the documents that a task met one after the other, until it holds BLOCK_WORDS distinct words or BLOCK_CHARS
-    characters: a longer text fills one by itself. The number of the first word of a row of words is first.
+    characters: a longer text fills one by itself. Words are numbered from the most frequent one on, so most places take a
+    byte or two. The number of the first word of a row of words is first.
     """
     held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), row_of(keep))
     schema = T.StructType([*_CUT, T.StructField("r", held.schema["r"].dataType)])
@@ -186,36 +208,39 @@ def blocks(docs: DataFrame, text_col: str, pattern: str, keep: list[str]) -> Dat
         import regex
 
         split = regex.compile(pattern).findall
-        name, block, chars = TaskContext.get().partitionId() << 32, _Block(), 0
+        name, block, chars, texts = TaskContext.get().partitionId() << 32, _Block(), 0, []
+        row_type = None
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            words = [w.encode() for w in block]
+        def closed(rows: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            numbers = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+            order = np.argsort(-np.bincount(numbers, minlength=len(block)), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ends, held = np.cumsum([len(x) for x in texts]).tolist(), pa.concat_arrays(rows)
+            for k in range(0, len(texts), BATCH_ROWS):
+                some = [short_bytes(place[numbers[b - len(x) : b]]) for x, b in zip(texts[k : k + BATCH_ROWS], ends[k : k + BATCH_ROWS])]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(some, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary())), held.slice(k, n)], names=names)
+            words = list(block)
             for k in range(0, len(words), _LISTED):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int64()), pa.array([words[k : k + _LISTED]], pa.list_(pa.binary())), pa.nulls(1, row_type)], names=names
-                )
+                some = [words[i].encode() for i in order[k : k + _LISTED].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int64()), pa.array([some], pa.list_(pa.binary())), pa.nulls(1, row_type)], names=names)
 
-        row_type = None
+        rows: list[pa.Array] = []
         for batch in (x for whole in batches for x in slices(whole)):
-            row_type = batch.column(1).type
-            texts, at = batch.column(0).to_pylist(), 0
-            while at < len(texts):
-                rows, begin = [], at
-                while at < len(texts) and len(block) < BLOCK_WORDS and chars < BLOCK_CHARS:
-                    parts = split(texts[at])
-                    rows.append(planes(np.fromiter(map(block.__getitem__, parts), np.int64, len(parts))))
-                    chars += len(texts[at])
-                    at += 1
-                n = at - begin
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary())), batch.column(1).slice(begin, n)], names=names
-                    )
+            row_type, begin = batch.column(1).type, 0
+            for at, text in enumerate(batch.column(0).to_pylist(), 1):
+                parts = split(text)
+                texts.append(np.fromiter(map(block.__getitem__, parts), np.uint32, len(parts)))
+                chars += len(text)
+                if len(block) >= BLOCK_WORDS or chars >= BLOCK_CHARS or at == batch.num_rows:
+                    rows.append(batch.column(1).slice(begin, at - begin))
+                    begin = at
                 if len(block) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
-                    yield from closed()
-                    name, block, chars = name + 1, _Block(), 0
-        if block:
-            yield from closed()
+                    yield from closed(rows)
+                    name, block, chars, texts, rows = name + 1, _Block(), 0, [], []
+        if texts:
+            yield from closed(rows)
 
     return _in_buckets(held.mapInArrow(cut, schema), "blocks", "block")
 
@@ -315,7 +340,7 @@ def encode_decode(
         starts[no], sizes[no] = np.cumsum(size) - size, size
         made: list[list] = [[] for _ in new]
         for cell in left.column("places"):
-            places = from_planes(cell.as_py())
+            places = from_short_bytes(cell.as_py())
             n, ids_hash, text_hash, every, texts = 0, hashlib.sha256(), hashlib.sha256(), [], []
             for k in range(0, len(places), _STRETCH):
                 some = places[k : k + _STRETCH]
