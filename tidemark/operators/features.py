@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import indicators
-from . import running
+from tidemark.sources.scratch import written
+
+from . import indicators, running
 from .running import previous
 
 #: Features that a model needs; a row that lacks one is warming up.
@@ -53,7 +54,8 @@ def multi_timeframe(bars: DataFrame, frames: dict[str, int]) -> DataFrame:
     out = bars
     for name, ms in frames.items():
         rows = coarse(bars, ms)
-        held = indicators.plain(indicators.with_halo(indicators.with_recurrences(rows)).withColumn("pct_b", indicators.bollinger()["pct_b"]))
+        held = written(indicators.with_recurrences(rows).select("symbol", "ts", "close", "rsi"), "coarse")
+        held = written(indicators.plain(indicators.with_halo(held).withColumn("pct_b", indicators.bollinger()["pct_b"])), "coarse")
         out = on_finished_buckets(out, held, ms, {"rsi": f"rsi_{name}", "pct_b": f"pct_b_{name}"})
     return out
 
@@ -91,8 +93,9 @@ def merged_streams(one: DataFrame, two: DataFrame, chunk_ms: int = indicators.DA
 def feature_table(bars: DataFrame, frames: dict[str, int] | None = None, reference: str | None = None) -> DataFrame:
     """bars with indicators, price-relative features, cyclical time, volatility and relative volume; with rsi_<name> and
     pct_b_<name> of each coarser frame, and, given a reference symbol, which then has no rows of its own, relative strength."""
-    rows = bars if reference is None else relative_strength(bars, reference).drop("own_return", "reference_return")
-    rows = price_relative(indicators.with_recurrences(multi_timeframe(rows, frames or {})))
+    rows = bars if reference is None else written(relative_strength(bars, reference).drop("own_return", "reference_return"), "relative")
+    rows = written(multi_timeframe(rows, frames), "frames") if frames else rows
+    rows = written(price_relative(indicators.with_recurrences(rows)), "recurrences")  # every step reads its input more than once
     b = indicators.bollinger()
     rows = indicators.with_halo(rows).withColumns({"pct_b": b["pct_b"], "bb_mid": b["bb_mid"], "bb_upper": b["bb_upper"], "bb_lower": b["bb_lower"], "rel_volume": indicators.relative_volume(), "ret15": indicators.window_return()})
     return indicators.plain(indicators.volatility_within(rows)).withColumns(indicators.cyclical_time())

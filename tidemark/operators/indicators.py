@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
 from .running import BLOCK, block_window, haloed, inside
 
 DAY_MS = 86_400_000
@@ -85,6 +87,18 @@ def cyclical_time(ts: str = "ts") -> dict[str, Column]:
     return {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "dow_sin": F.sin(day), "dow_cos": F.cos(day)}
 
 
+def smoothed(x: np.ndarray, a: float, state: float) -> np.ndarray:
+    """y = a x + (1 - a) y of the value before, from a state on; without one (NaN) the first x is y. NaN gives NaN."""
+    ok = ~np.isnan(x)
+    out = np.full(len(x), np.nan)
+    v = x[ok]
+    if len(v):
+        first = np.isnan(state)
+        y = pd.Series(v if first else np.concatenate([[state], v])).ewm(alpha=a, adjust=False).mean().to_numpy()
+        out[ok] = y if first else y[1:]
+    return out
+
+
 def recurrence(
     df: DataFrame, inputs: dict[str, tuple[str, float]], chunk: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts",
     of_differences: dict[str, tuple[str, str, float]] | None = None,
@@ -100,17 +114,6 @@ def recurrence(
     names, columns = [*inputs, *extra], df.columns
     part = df.select(*keys, chunk, order, *dict.fromkeys(x for x, _ in inputs.values()))
 
-    def run(x: np.ndarray, a: float, state: float) -> np.ndarray:
-        ok = ~np.isnan(x)
-        out = np.full(len(x), np.nan)
-        v = x[ok]
-        if len(v):
-            first = np.isnan(state)
-            lead = v if first else np.concatenate([[state], v])
-            y = pd.Series(lead).ewm(alpha=a, adjust=False).mean().to_numpy()
-            out[ok] = y if first else y[1:]
-        return out
-
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         row = {k: [pdf[k].iloc[0]] for k in (*keys, chunk)}
@@ -118,12 +121,12 @@ def recurrence(
         for n, (x, a) in inputs.items():
             v = pdf[x].to_numpy(float)
             v = v[~np.isnan(v)]
-            held[n] = run(v, a, 0.0)
+            held[n] = smoothed(v, a, 0.0)
             row[f"{n}_n"], row[f"{n}_x"], row[f"{n}_b"] = [len(v)], [v[0] if len(v) else np.nan], [held[n][-1] if len(v) else 0.0]
         for n, (one, two, a) in extra.items():
             m = len(held[one])
-            fade = [run((1 - inputs[x][1]) ** np.arange(1, m + 1), a, 0.0)[-1] if m else 0.0 for x in (one, two)]
-            row[f"{n}_b"], row[f"{n}_p"], row[f"{n}_q"] = [run(held[one] - held[two], a, 0.0)[-1] if m else 0.0], [fade[0]], [-fade[1]]
+            fade = [smoothed((1 - inputs[x][1]) ** np.arange(1, m + 1), a, 0.0)[-1] if m else 0.0 for x in (one, two)]
+            row[f"{n}_b"], row[f"{n}_p"], row[f"{n}_q"] = [smoothed(held[one] - held[two], a, 0.0)[-1] if m else 0.0], [fade[0]], [-fade[1]]
         return pd.DataFrame(row)
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -155,9 +158,9 @@ def recurrence(
         left = left.sort_values(order)
         state = lambda n: float(right[f"{n}_s"].iloc[0]) if len(right) else np.nan
         for n, (x, a) in inputs.items():
-            left[n] = run(left[x].to_numpy(float), a, state(n))
+            left[n] = smoothed(left[x].to_numpy(float), a, state(n))
         for n, (one, two, a) in extra.items():
-            left[n] = run((left[one] - left[two]).to_numpy(float), a, state(n))
+            left[n] = smoothed((left[one] - left[two]).to_numpy(float), a, state(n))
         return left[[*columns, *names]]
 
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + "".join(f", {n} double" for n in names)
@@ -174,7 +177,7 @@ def with_recurrences(bars: DataFrame, size: int = BLOCK, fast: int = 12, slow: i
         "_gain": F.greatest(change, F.when(change.isNotNull(), 0.0)), "_loss": F.greatest(-change, F.when(change.isNotNull(), 0.0)),
         "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)), "_chunk": F.col("_block"), "_n": F.col("_i") + 1,
     })
-    rows = plain(rows)
+    rows = written(plain(rows), "steps")  # read by two passes
     alpha = lambda k: 2 / (k + 1)
     two = recurrence(rows, {
         "ema_fast": ("close", alpha(fast)), "ema_slow": ("close", alpha(slow)), "ema_trend": ("close", alpha(trend)),

@@ -1,3 +1,3 @@
 """Queries, registered when the package is imported."""
 
-from . import catalog, desk, listed, market  # noqa: F401
+from . import catalog, desk, listed, live, market  # noqa: F401

@@ -69,11 +69,11 @@ def a15_weak_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.weak_hours(src.trades(spark, sf_dir), ("run", "exit_reason"))
 
 
-_STATES = "ev AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CASE o_orderpriority WHEN '1-URGENT' THEN 'PARADO_CIRCUIT_BREAKER' ELSE 'OPERANDO' END AS to_state FROM orders WHERE o_orderkey % 3 = 0)"
+_STATES = "ev AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CASE o_orderpriority WHEN '1-URGENT' THEN 'PARADO_CIRCUIT_BREAKER' ELSE 'OPERANDO' END AS to_state FROM orders)"
 
 
 def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = src.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    o = src.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), src.millis("o_orderdate").alias("ts"), F.when(F.col("o_orderpriority") == "1-URGENT", "PARADO_CIRCUIT_BREAKER").otherwise("OPERANDO").alias("to_state"))
 
 
@@ -113,12 +113,12 @@ def c4_learning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", "trades", "net_pnl", "breaker", size("weak_hours").alias("n_weak"), size("stale").alias("n_stale"))
 
 
-@query(f"""WITH {src.TICKS}, s AS (SELECT symbol, ts, id, lag(ts, 99) OVER (PARTITION BY symbol ORDER BY ts, id) AS first FROM ticks),
-    x AS (SELECT symbol, ts // 3600000 * 3600000 AS bucket, max(ts) AS ts, arg_max(struct_pack(f := first), (ts, id)).f AS first FROM s GROUP BY 1, 2)
-    SELECT symbol, bucket, ts - first AS span_ms, 100 * 1000 / (ts - first) AS per_second FROM x WHERE ts - first > 0""")
+@query(f"""WITH {src.TICKS}, s AS (SELECT symbol, ts, id, lag(ts, 999) OVER (PARTITION BY symbol ORDER BY ts, id) AS first FROM ticks),
+    x AS (SELECT symbol, ts // 30000 * 30000 AS bucket, max(ts) AS ts, arg_max(struct_pack(f := first), (ts, id)).f AS first FROM s GROUP BY 1, 2)
+    SELECT symbol, bucket, ts - first AS span_ms, 1000 * 1000 / (ts - first) AS per_second FROM x WHERE ts - first > 0""")
 def a19_arrival_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the last 100 messages, every hour."""
-    return flow.arrival_rates(src.ticks(spark, sf_dir), every_ms=3_600_000, last=100)
+    """Of the last 1000 messages, every 30 s in which there is one."""
+    return flow.arrival_rates(src.ticks(spark, sf_dir))
 
 
 @query(f"WITH {src.TRADES} SELECT run, sum(pnl)::DOUBLE AS realized_pnl FROM trades GROUP BY 1")
@@ -239,10 +239,14 @@ def k4_recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'sweep' WHEN 1 THEN 'permute' ELSE 'screen' END AS tool, (o_custkey % 40)::VARCHAR AS h, o_orderstatus AS s FROM orders"""
 
 
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "sweep").when(F.col("o_orderkey") % 3 == 1, "permute").otherwise("screen").alias("tool"), (F.col("o_custkey") % 40).cast("string").alias("h"), F.col("o_orderstatus").alias("s"))
+
+
 @query(f"WITH l AS ({_LOG}) SELECT id, EXISTS (SELECT 1 FROM l o WHERE o.id % 10 = 0 AND o.tool = l.tool AND o.h = l.h AND o.s = l.s) AS tried FROM l WHERE id % 10 > 0")
 def s15_already_tried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the orders as the log; parameters come in another order there."""
-    rows = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "sweep").when(F.col("o_orderkey") % 3 == 1, "permute").otherwise("screen").alias("tool"), (F.col("o_custkey") % 40).cast("string").alias("h"), F.col("o_orderstatus").alias("s"))
+    rows = log_rows(spark, sf_dir)
     log = rows.filter("id % 10 = 0").withColumn("params", F.expr("map('s', s, 'h', h)"))
     return ingest.already_tried(rows.filter("id % 10 > 0").withColumn("params", F.expr("map('h', h, 's', s)")), log).select("id", "tried")
 

@@ -27,14 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def streamed(rows: DataFrame, order: str, files: int) -> DataFrame:
-    """rows as a stream of one file a micro-batch, in ranges of the order column, first range first."""
+def streamed(rows: DataFrame, order: str, batches: int, parts: int = 3) -> DataFrame:
+    """rows as a stream of micro-batches, ranges of the order column, the first range first; a batch is ``parts`` files."""
     spark, where = rows.sparkSession, path(rows.sparkSession, "stream")
     held = written(rows, "rows")
-    cuts = [float("-inf"), *held.approxQuantile(order, [k / files for k in range(1, files)], 0.0), float("inf")]
-    for a, b in zip(cuts, cuts[1:]):  # files are few; later ones must be newer
-        held.filter((held[order] > a) & (held[order] <= b)).coalesce(1).write.mode("append").parquet(where)
-    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    cuts = [float("-inf"), *held.approxQuantile(order, [k / batches for k in range(1, batches)], 0.0), float("inf")]
+    for a, b in zip(cuts, cuts[1:]):  # batches are few; files of later ones must be newer
+        some = held.filter((held[order] > a) & (held[order] <= b))
+        some.repartition(parts).sortWithinPartitions(order).write.mode("append").parquet(where)
+    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", parts).parquet(where)
+
+
+def in_batches(rows: DataFrame, batch: str, parts: int = 3) -> DataFrame:
+    """rows as a stream of one micro-batch per number in the batch column, in order, ``parts`` files each; without that column."""
+    spark, where = rows.sparkSession, path(rows.sparkSession, "stream")
+    held = written(rows, "rows")
+    for (k,) in held.select(batch).distinct().orderBy(batch).collect():  # batches are few; files of later ones must be newer
+        held.filter(held[batch] == k).drop(batch).repartition(parts).write.mode("append").parquet(where)
+    return spark.readStream.schema(held.drop(batch).schema).option("maxFilesPerTrigger", parts).parquet(where)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

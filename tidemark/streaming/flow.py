@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import flow
+from tidemark.operators import flow, store
 
 
 def live_buckets(trades: DataFrame, bucket_ms: int = 1000, late: str = "1 minute") -> DataFrame:
@@ -34,6 +34,16 @@ def append_partials(trades: DataFrame, path: str, checkpoint: str, bucket_ms: in
     return trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def capture(trades: DataFrame, path: str, checkpoint: str, bucket_ms: int = 1000) -> StreamingQuery:
+    """A stream of trades into the capture store at path, a batch a micro-batch; store.backfill() fills its gaps later, under
+    numbers that the stream doesn't reach."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.capture(batch.select("symbol", "id", "ts", "price", "quantity", "is_buyer_maker"), path, number, bucket_ms)
+
+    return trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def compacted(spark, path: str) -> DataFrame:
     """The buckets of all partials below path."""
     return flow.merge_buckets(spark.read.parquet(path).drop("batch"))
