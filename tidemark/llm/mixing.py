@@ -75,6 +75,10 @@ def sainte_lague(votes: DataFrame, group: list[str], key: list[str], vote: str,
     )
 
 
+def _cell() -> Column:
+    return F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit(":"), F.col("shard").cast("string"))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7, cap: int = CAP, keep: list[str] | None = None,
@@ -93,10 +97,11 @@ def mix(
 def _laid(
     docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], block: int, seed: int, cap: int, keep: list[str], shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """r (the columns that stay), source, shard, place, tie, size, source_size, target, taken of every document."""
+    """r (the columns that stay), source, shard, cell (both as one text), place, tie, size, source_size, target, taken of every document."""
+    # Id and text together, as one id may have many rows.
     sized = docs.select(
         row_of(keep), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("place"), F.xxhash64(F.col(text_col)).alias("tie"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("place"), F.xxhash64(F.col(text_col)).alias("tie"),
     )
     light = written(sized.select("source", "size", "place"), "sizes")
     words = light.agg(F.sum("size")).first()[0] or 0
@@ -120,15 +125,16 @@ def _laid(
     )
     n = F.ceil(F.col("cell_size") / block)
     plan = quotas.withColumn("n", n).withColumn("quota", F.least("quota", cap * F.col("n"))).select(
-        F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "source_size", F.col("target").cast("double").alias("target"), "n",
+        _cell().alias("cell"), "source_size", F.col("target").cast("double").alias("target"), "n",
         F.when(F.col("n") > 0, F.expr("quota div n")).otherwise(0).alias("every"),
         F.when(F.col("n") > 0, F.pmod("quota", "n")).otherwise(0).alias("more"),
         F.when(F.col("n") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), "n")).otherwise(0).alias("start"),
     )
-    laid = sized.withColumn("shard", shard).withColumn(
-        "end", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "tie", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # One key, never null, for windows and join alike: rows move to their cell once.
+    laid = sized.withColumn("shard", shard).withColumn("cell", _cell()).withColumn(
+        "end", F.sum("size").over(Window.partitionBy("cell").orderBy("place", "tie", "size").rowsBetween(Window.unboundedPreceding, 0))
     )
-    both = laid.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
+    both = laid.join(plan, "cell")
 
     def chosen(j: str) -> str:
         """Chosen blocks before block j, in whole numbers."""
@@ -139,7 +145,7 @@ def _laid(
         return F.expr(f"{chosen(j)} * {block} + ({chosen(f'({j} + 1)')} - {chosen(j)}) * (({p}) - {j} * {block})")
 
     taken = F.col("every") * F.col("size") + words_before("end") - words_before("end - size")
-    return both.select("r", "source", "shard", "place", "tie", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return both.select("r", "source", "shard", "cell", "place", "tie", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(
@@ -156,7 +162,7 @@ def mixed_documents(
     laid = _laid(docs, id_col, text_col, source_col, weights, block, seed, cap, docs.columns)
     part = F.when(F.col("size") > 0, F.expr(f"(taken % size) * {_PARTS} div size")).otherwise(0)
     start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.lit(_PARTS))
-    by_size = Window.partitionBy("source", "shard").orderBy("size", "place", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    by_size = Window.partitionBy("cell").orderBy("size", "place", "tie").rowsBetween(Window.unboundedPreceding, 0)
     upto = laid.withColumn("part", part).withColumn("upto", start + F.sum("part").over(by_size))
     copies = F.when(F.col("size") > 0, F.expr(f"taken div size + upto div {_PARTS} - (upto - part) div {_PARTS}")).otherwise(0)
     return upto.select("r", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("r.*")
