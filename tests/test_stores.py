@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import flow, intervals, store
+from tidemark.operators import flow, ingest, intervals, store
 from tidemark.sources import scratch
 from tidemark.streaming import features as live_features
 from tidemark.streaming import flow as live
@@ -88,7 +88,7 @@ def test_a_missing_store_is_none(spark, tmp_path):
 def test_runs_are_saved_once(spark, tmp_path):
     trades = spark.range(3).withColumnRenamed("id", "trade_id")
     for run in ("a", "b", "a"):
-        store.save_run({"trades": trades}, f"{tmp_path}", run)
+        ingest.save_report({"trades": trades}, f"{tmp_path}", run)
     assert spark.read.parquet(f"{tmp_path}/trades").count() == 6
     listed = store.run_catalog(spark, f"{tmp_path}/trades")
     assert [r.run_name for r in listed.collect()] == ["a", "b"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +15,20 @@ GENERIC_TOKENS = (
 )
 #: Beginnings of share classes that are equity, and classes that are equity as they are.
 EQUITY_PREFIXES, EQUITY_EXACT = ("ON", "PN", "PR", "OR"), ("UNT",)
-#: Letters with accents and what is left of them without.
-_ACCENTED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝáàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-_PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUCNYaaaaaaeeeeiiiiooooouuuucnyy"
+
+
+def _ascii_of_characters() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of characters in ASCII: those that leave one letter, that letter, and those
+    that leave several. All others beyond ASCII leave nothing."""
+    one, several = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else several)[c] = left
+    return "".join(one), "".join(one.values()), several
+
+
+_FROM, _TO, _SEVERAL = _ascii_of_characters()
 
 
 def _tokens(c: Column) -> Column:
@@ -57,8 +71,12 @@ def three_levels(c: Column) -> Column:
 
 
 def plain_name(c: Column) -> Column:
-    """Upper-case ASCII letters and digits with single spaces between words; accents go, other letters are dropped."""
-    bare = F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Upper-case ASCII letters and digits with single spaces between words. Characters are decomposed (NFKD), so accents go
+    and ligatures fall apart; what isn't ASCII then is dropped."""
+    parts = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string, string>")  # a literal once the plan is optimised
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(parts[x], x)), "")
+    whole = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(c)
+    bare = F.regexp_replace(F.translate(whole, _FROM, _TO), r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.upper(bare), "[^A-Z0-9 ]", " "), " +", " "))
 
 

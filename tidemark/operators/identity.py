@@ -18,12 +18,19 @@ def _unique(pairs: DataFrame, key: str) -> DataFrame:
 def by_name(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(ticker, company) where all significant tokens of the ticker's name are among those of one name of exactly one company.
 
-    Relational division over an index of tokens: no name meets one with which it shares no token.
+    An inverted index of names is probed by each asked name's rarest token alone; what it finds is verified on the sets of
+    tokens. A token that is in very many names is probed only by names that have no rarer one. A token that no name has ends
+    the search: it is the rarest.
     """
-    asked = queries.select("ticker", significant_tokens(F.col("name")).alias("t")).filter("size(t) > 0").select("ticker", F.size("t").alias("n"), F.explode("t").alias("token"))
-    known = names.select("company", "name", F.explode(significant_tokens(F.col("name"))).alias("token")).distinct()
-    held = asked.join(known, "token").groupBy("ticker", "company", "name").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-    return _unique(held.filter("hits = n").select("ticker", "company").distinct(), "ticker")
+    known = names.select("company", significant_tokens(F.col("name")).alias("of")).filter("size(of) > 0").distinct()
+    index = known.select("company", "of", F.explode("of").alias("token"))
+    sizes = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("ticker", significant_tokens(F.col("name")).alias("t")).filter("size(t) > 0").distinct()
+    ranked = asked.select("ticker", "t", F.explode("t").alias("token")).join(sizes, "token", "left")
+    rarest = F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token"))
+    probes = ranked.groupBy("ticker", "t").agg(rarest.alias("token"))
+    held = probes.join(index, "token").filter(F.size(F.array_except("t", "of")) == 0)
+    return _unique(held.select("ticker", "company").distinct(), "ticker")
 
 
 def resolve(queries: DataFrame, registry: dict[str, DataFrame], root_len: int = 4) -> DataFrame:

@@ -51,6 +51,7 @@ def already_tried(candidates: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def save_report(parts: dict[str, DataFrame], path: str, run: str) -> None:
-    """Write the tables of a run (metrics, trades, equity curve, rejected signals) below path, each in its own folder, by run."""
+    """Write the tables of a run (metrics, trades, equity curve, rejected signals) below path, each in its own folder, by run.
+    A run that is saved again replaces itself and no other."""
     for name, df in parts.items():
-        df.withColumn("run_name", F.lit(run)).write.mode("append").partitionBy("run_name").parquet(f"{path}/{name}")
+        df.withColumn("run_name", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(f"{path}/{name}")

@@ -11,6 +11,9 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
+from . import running
 from .indicators import DAY_MS
 from .running import previous
 
@@ -87,27 +90,70 @@ def thresholds(scored: DataFrame, keys: list[str], percentile: float = 80.0, mul
     return held.withColumn("exit", F.greatest(F.lit(0.0), F.col("entry") - hysteresis * F.col("noise")))
 
 
-def shuffled_labels(rows: DataFrame, seed: int, keys: list[str], order: str = "ts") -> DataFrame:
-    """rows with their labels dealt anew within every key: the same labels, in an order drawn by the seed."""
-    to = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    drawn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(order, F.lit(seed)), order))
-    labels = rows.select(*keys, F.col("label").alias("_l"), drawn.alias("_i"))
-    return to.join(labels, [*keys, "_i"]).withColumn("label", F.col("_l")).drop("_l", "_i").select(rows.columns)
+#: Rounds of the bijection, and steps of its walk.
+_ROUNDS, _WALK = 4, 64
+
+
+def permuted(i: Column, n: Column, seed: Column) -> Column:
+    """A bijection of 0 .. n - 1, drawn by the seed: a Feistel network over pairs of digits to the base floor(sqrt(n)) + 1,
+    walked until it comes back below n. Few numbers lie beyond n, so nearly all rows take one step; of 4 rows or more, none
+    takes 64 with a probability over 1e-16, and it would be an error."""
+    base = F.floor(F.sqrt(n.cast("double"))).cast("long") + 1
+    drawn = lambda x, k: F.conv(F.substring(F.md5(F.concat_ws(":", x.cast("string"), seed.cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("long")
+
+    def step(x: Column) -> Column:
+        high, low = F.floor(x / base).cast("long"), F.pmod(x, base)
+        for k in range(_ROUNDS):
+            if k % 2:
+                low = F.pmod(low + drawn(high, k), base)
+            else:
+                high = F.pmod(high + drawn(low, k), base)
+        return high * base + low
+
+    first = step(i.cast("long"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), first, lambda acc, _: F.when(acc < n, acc).otherwise(step(acc)))
+    found = F.when(first < n, first).otherwise(walked)
+    return F.when(n <= 1, F.lit(0).cast("long")).when(found < n, found).otherwise(F.raise_error(F.lit("the walk didn't come back")).cast("long"))
+
+
+def shuffled_labels(rows: DataFrame, seeds: int | list[int], keys: list[str], order: str = "ts") -> DataFrame:
+    """rows with their labels dealt anew within every key, once per seed (a column, if there are several): the same labels, in
+    an order drawn by the seed. order is a time in milliseconds; rows of one time take an order of their own once.
+
+    Rows are numbered by chunks of time, and number i takes the label of number permuted(i): one join on numbers, whatever
+    the number of seeds.
+    """
+    many = isinstance(seeds, list)
+    held = written(running.numbered(rows, keys, F.expr(f"`{order}` div {DAY_MS}"), [order], "_i"), "numbered")
+    sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    asked = held.join(sizes, keys).withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in (seeds if many else [seeds])])))
+    asked = asked.drop("label").withColumn("_i", permuted(F.col("_i"), F.col("_n"), F.col("seed")))
+    out = asked.join(held.select(*keys, "_i", "label"), [*keys, "_i"])
+    return out.select(*rows.columns, *["seed"] * many)
 
 
 def importance(scorer: Scorer, held_out: DataFrame, seed: int = 11) -> DataFrame:
     """Per feature, largest first: the booster's share, how far scores move on the mean when the feature is dealt anew among
-    held-out rows, and the sign of its correlation with the score (0 without variance)."""
-    spark = held_out.sparkSession
-    base = scorer.score(held_out).withColumn("_id", F.monotonically_increasing_id())
+    held-out rows, and the sign of its correlation with the score (0 without variance).
+
+    Rows are scored and numbered once. Every row then comes once per feature, with that feature taken from the row whose
+    number is its own under a bijection drawn for the feature; all are scored together.
+    """
+    spark, names = held_out.sparkSession, list(scorer.features)
+    base = written(scorer.score(held_out).select(*names, "score"), "raw")
+    groups = base.count() // 50_000 + 1  # features are dealt anew within groups of some 50 000 rows
+    base = base.withColumn("_g", F.pmod(F.xxhash64(*names, "score"), F.lit(groups)))
+    base = written(base.withColumn("_i", (F.row_number().over(Window.partitionBy("_g").orderBy(*names)) - 1).cast("long")), "scored")
+    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    features = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("f")) for k, f in enumerate(names)])
+    each = base.join(sizes, "_g").withColumn("_f", F.explode(features))
+    each = each.withColumn("_to", permuted(F.col("_i"), F.col("_n"), F.col("_f.k") + seed))
+    others = base.select("_g", F.col("_i").alias("_to"), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f).cast("double") for f in names])).alias("_v"))
+    dealt = each.join(others, ["_g", "_to"])
+    dealt = dealt.withColumns({f: F.when(F.col("_f.f") == f, F.col("_v")[f]).otherwise(F.col(f)) for f in names}).withColumnRenamed("score", "_s")
+    impact = _raw(scorer.booster, dealt, scorer.features).groupBy(F.col("_f.f").alias("feature")).agg(F.avg(F.abs(F.col("score") - F.col("_s"))).alias("impact"))
+    sides = base.agg(*[F.when((F.stddev_pop(f) > 0) & (F.stddev_pop("score") > 0), F.corr(f, "score")).otherwise(0.0).alias(f) for f in names]).first()
     shares = scorer.booster.featureImportances.toArray()
-    found = []
-    for k, f in enumerate(scorer.features):  # a job per feature, of which there are some dozens
-        a = base.withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod("_id", F.lit(64))).orderBy("_id"))).withColumn("_g", F.pmod("_id", F.lit(64)))
-        b = base.select(F.pmod("_id", F.lit(64)).alias("_g"), F.row_number().over(Window.partitionBy(F.pmod("_id", F.lit(64))).orderBy(F.xxhash64("_id", F.lit(seed)), "_id")).alias("_n"), F.col(f).alias("_v"))
-        dealt = a.join(b, ["_g", "_n"]).withColumn("_s", F.col("score")).drop("score", "probability").withColumn(f, F.col("_v"))
-        again = _raw(scorer.booster, dealt, scorer.features)
-        varied = base.agg(F.when((F.stddev_pop(f) > 0) & (F.stddev_pop("score") > 0), F.corr(f, "score")).otherwise(0.0)).first()[0]
-        impact = again.agg(F.avg(F.abs(F.col("score") - F.col("_s")))).first()[0]
-        found.append((f, float(shares[k]), float(impact or 0.0), float(varied or 0.0)))
-    return spark.createDataFrame(found, "feature string, share double, impact double, direction double").orderBy(F.desc("impact"), "feature")
+    known = spark.createDataFrame([(f, float(shares[k]), float(sides[f] or 0.0)) for k, f in enumerate(names)], "feature string, share double, direction double")
+    out = known.join(impact, "feature", "left").select("feature", "share", F.coalesce("impact", F.lit(0.0)).alias("impact"), "direction")
+    return out.orderBy(F.desc("impact"), "feature")

@@ -33,7 +33,7 @@ class Risk:
     """Shares of equity: at risk in a trade, and at most in a position."""
 
     per_trade: float = 0.01
-    max_exposure: float = 0.5
+    max_exposure: float = 0.2
 
     def __post_init__(self) -> None:
         if not (0 < self.per_trade <= 1 and 0 < self.max_exposure <= 1):

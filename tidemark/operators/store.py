@@ -126,15 +126,8 @@ def in_days(rows: DataFrame, days: DataFrame) -> DataFrame:
     return rows.filter(spanned).join(F.broadcast(wanted.filter(spanned)), "day")
 
 
-def save_run(parts: dict[str, DataFrame], path: str, run: str) -> None:
-    """The tables of a run (metrics, trades, equity curve, rejected signals) below path, each in its own folder. A run that is
-    saved again replaces itself."""
-    for name, df in parts.items():
-        _replace(df.withColumn("run_name", F.lit(run)), f"{path}/{name}", "run_name")
-
-
 def run_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """run_name, files and modified of every saved run, newest first, from names and times of its files alone."""
+    """run_name, files and modified of every run that ingest.save_report() wrote, newest first, from names and times of its files alone."""
     rows = spark.read.parquet(path).select("run_name", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
     return rows.groupBy("run_name").agg(F.count_distinct("f").alias("files"), F.max("t").alias("modified")).orderBy(F.desc("modified"), "run_name")
 

@@ -203,7 +203,8 @@ def w12_corporate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equities.corporate_events(src.daily_prices(spark, sf_dir))
 
 
-@query(f"WITH {src.PRICES}, {_EVENTS} SELECT ticker, from_date, trade_date, from_close, close, ret FROM w WHERE abs(ret) > 0.6 AND NOT EXISTS (SELECT 1 FROM ev WHERE is_level_break AND ev.ticker = w.ticker AND ev.trade_date = w.trade_date)")
+@query(f"""WITH {src.PRICES}, {_EVENTS}, b AS (SELECT ticker, trade_date FROM ev WHERE is_level_break), m AS (SELECT * FROM w WHERE abs(ret) > 0.6)
+    SELECT m.ticker, from_date, m.trade_date, from_close, close, ret FROM m LEFT JOIN b ON b.ticker = m.ticker AND b.trade_date = m.trade_date WHERE b.ticker IS NULL""")
 def w13_implausible_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = src.daily_prices(spark, sf_dir)
     return equities.implausible_moves(prices, equities.corporate_events(prices))

@@ -56,7 +56,7 @@ def p12_fill_and_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 1000 END"
 
 
-@query(f"""SELECT p_partkey, least(100000 * 0.01 / nullif(p_retailprice * {_STOP}, 0), 100000 * 0.5 / p_retailprice) AS size, CASE WHEN coalesce({_STOP}, 0) <= 0 THEN 'missing_stop' END AS rejection FROM part WHERE coalesce({_STOP}, 0) > 0
+@query(f"""SELECT p_partkey, least(100000 * 0.01 / nullif(p_retailprice * {_STOP}, 0), 100000 * 0.2 / p_retailprice) AS size, CASE WHEN coalesce({_STOP}, 0) <= 0 THEN 'missing_stop' END AS rejection FROM part WHERE coalesce({_STOP}, 0) > 0
     UNION ALL SELECT p_partkey, NULL, 'missing_stop' FROM part WHERE coalesce({_STOP}, 0) <= 0""")
 def p14_position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk, equity, price, stop = signals.Risk(), F.lit(100_000.0), F.col("p_retailprice"), F.expr(_STOP)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import equities, identity, ingest
 from tidemark.sources import adapters as src
-from tidemark.sources import readers
+from tidemark.sources import readers, scratch
 
 from .catalog import _QUARTERS, CANDIDATES, MIN_VOLUME, months, quarters
 from .registry import query
@@ -75,15 +75,17 @@ _GENERIC = "[" + ", ".join(f"'{x}'" for x in text.GENERIC_TOKENS) + "]"
 _SIGNIFICANT = "list_filter(list_distinct(string_split({0}, ' ')), lambda w: length(w) >= 4 AND NOT list_contains(" + _GENERIC + ", w))"
 
 
-@query(f"SELECT doc_id, {_PLAIN.format('text[1:80]')} AS name FROM documents")
+@query(f"WITH n AS (SELECT doc_id, {_PLAIN.format('text')} AS name FROM documents) SELECT doc_id, length(name) AS n_chars, sha256(name) AS name_sha256 FROM n")
 def p7_plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of 80 letters, taken from the documents."""
-    return src.table(spark, sf_dir, "documents").select("doc_id", text.plain_name(F.substring("text", 1, 80)).alias("name"))
+    """Whole documents as names."""
+    names = src.table(spark, sf_dir, "documents").select("doc_id", text.plain_name(F.col("text")).alias("name"))
+    return names.select("doc_id", F.length("name").cast("long").alias("n_chars"), F.sha2("name", 256).alias("name_sha256"))
 
 
-@query(f"WITH n AS (SELECT doc_id, {_PLAIN.format('text[1:80]')} AS name FROM documents) SELECT doc_id, array_to_string(list_sort({_SIGNIFICANT.format('name')}), ' ') AS tokens FROM n")
+@query(f"WITH n AS (SELECT doc_id, {_PLAIN.format('text')} AS name FROM documents), t AS (SELECT doc_id, list_sort({_SIGNIFICANT.format('name')}) AS t FROM n) SELECT doc_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM t")
 def p8_significant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.significant_tokens(F.substring("text", 1, 80))), " ").alias("tokens"))
+    tokens = src.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.significant_tokens(F.col("text"))).alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
 
 
 @query(f"""WITH {src.FILINGS}, k AS (SELECT year(received) AS year, row_number() OVER (PARTITION BY company, period, category ORDER BY received, filing_id) AS n,
@@ -221,3 +223,49 @@ def s16_status_and_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "x.*")
 
 
+
+
+def _lines(rows: DataFrame, columns: dict[str, Column]) -> str:
+    """rows rendered as a latin-1 table between semicolons with a header, in a new folder; values padded, columns in the
+    order given."""
+    where = scratch.path(rows.sparkSession, "lines")
+    rows.select(*[c.cast("string").alias(n) for n, c in columns.items()]).write.option("header", True).option("sep", ";").option("encoding", readers.LATIN).option("quote", "").option("emptyValue", "").csv(where)
+    return where
+
+
+@query(f"""WITH {src.FILINGS} SELECT company::VARCHAR AS company, period, version::INT AS version, category, 'CIA ÁGUA ' || company AS name, (company * 7)::VARCHAR AS code, filing_id::VARCHAR AS filing_id,
+    CASE WHEN filing_id % 11 > 0 THEN received END AS received FROM filings""")
+def s2_filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings as lines of the index, columns in another order, some days unreadable; read again."""
+    f, c = src.filings(spark, sf_dir), F.col
+    where = _lines(f, {
+        "ID_DOC": c("filing_id"), "CNPJ_CIA": F.concat(F.lit(" "), c("company"), F.lit(" ")), "DT_REFER": c("period"), "VERSAO": c("version"), "EXTRA": F.lit("x"), "DENOM_CIA": F.concat(F.lit("CIA ÁGUA "), c("company")),
+        "CD_CVM": c("company") * 7, "CATEG_DOC": c("category"), "DT_RECEB": F.when(c("filing_id") % 11 > 0, c("received").cast("string")).otherwise("00/00"), "LINK_DOC": F.lit("http://x"),
+    })
+    return readers.read_filings(spark, where).drop("link")
+
+
+@query("""SELECT l_suppkey::VARCHAR AS company, make_date(year(l_shipdate), 12, 31) AS period, l_linenumber::INT AS version, CASE WHEN l_returnflag = 'R' THEN 'ÚLTIMO' ELSE 'PENÚLTIMO' END AS "order",
+    l_orderkey::VARCHAR AS account, 'Conta ' || l_linestatus AS description, CASE WHEN l_orderkey % 13 > 0 THEN l_extendedprice END AS amount FROM lineitem""")
+def s3_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: line items as lines of a statement file, some amounts unreadable; read again."""
+    li, c = src.table(spark, sf_dir, "lineitem"), F.col
+    where = _lines(li, {
+        "CNPJ_CIA": c("l_suppkey"), "DT_REFER": F.make_date(F.year("l_shipdate"), F.lit(12), F.lit(31)), "VERSAO": c("l_linenumber"), "ORDEM_EXERC": F.when(c("l_returnflag") == "R", "ÚLTIMO").otherwise("PENÚLTIMO"),
+        "CD_CONTA": c("l_orderkey"), "DS_CONTA": F.concat(F.lit("Conta "), c("l_linestatus")), "VL_CONTA": F.when(c("l_orderkey") % 13 > 0, c("l_extendedprice").cast("string")).otherwise("n/d"),
+    })
+    return readers.read_line_items(spark, where)
+
+
+@query("""WITH r AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_nationkey::VARCHAR ELSE '' END AS company, CASE WHEN c_custkey % 3 > 0 THEN 'T' || lpad((c_custkey % 500)::VARCHAR, 4, '0') ELSE '' END AS ticker, c_mktsegment AS name FROM customer),
+    k AS (SELECT * FROM r WHERE company != '') SELECT DISTINCT 'ticker' AS kind, ticker AS key, company FROM k WHERE ticker != '' UNION ALL SELECT DISTINCT 'root', ticker[1:4], company FROM k WHERE ticker != '' UNION ALL SELECT DISTINCT 'name', name, company FROM k""")
+def s4_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The security registry as lines, some without a company or a ticker; read again as three lookups."""
+    cu, c = src.table(spark, sf_dir, "customer"), F.col
+    where = _lines(cu, {
+        "Nome_Empresarial": c("c_mktsegment"), "Codigo_Negociacao": F.when(c("c_custkey") % 3 > 0, F.concat(F.lit("T"), F.lpad((c("c_custkey") % 500).cast("string"), 4, "0"))).otherwise(""),
+        "CNPJ_Companhia": F.when(c("c_custkey") % 10 > 0, c("c_nationkey").cast("string")).otherwise(""),
+    })
+    found = readers.read_registry(spark, where)
+    part = lambda kind, name, key: found[name].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "company")
+    return part("ticker", "tickers", "ticker").unionByName(part("root", "roots", "root")).unionByName(part("name", "names", "name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import flow, intervals, metrics, running, store
+from tidemark.operators import flow, ingest, intervals, metrics, running, store
 from tidemark.sources import adapters as src
 from tidemark.sources import scratch
 from tidemark.streaming import features as live_features
@@ -144,7 +144,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     path, names = scratch.path(spark, "runs"), [r[0] for r in trades.select("run").distinct().orderBy("run").collect()]
     for run in [*names, names[0]] if names else []:
         own = trades.filter(F.col("run") == run)
-        store.save_run({"trades": own.drop("run"), "metrics": metrics.trade_stats(own).drop("run")}, path, run)
+        ingest.save_report({"trades": own.drop("run"), "metrics": metrics.trade_stats(own).drop("run")}, path, run)
     return path, names
 
 

@@ -43,7 +43,7 @@ def s6_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     k = F.struct(F.col("symbol").alias("s"), F.lit("1h").alias("i"), *[text(c).alias(a) for a, c in zip("ohlcv", ("open", "high", "low", "close", "volume"))], (F.col("n") % 5 > 0).alias("x"))
     times = F.concat(F.lit('{"t":'), text("ts"), F.lit(',"T":'), (F.col("ts") + (src.HOUR_MS - 1)).cast("string"), F.lit(","))
-    body = F.concat(F.lit('{"e":"kline","k":'), times, F.substring(F.to_json(k), 2, 10_000), F.lit("}"))
+    body = F.concat(F.lit('{"e":"kline","k":'), times, F.to_json(k).substr(F.lit(2), F.length(F.to_json(k))), F.lit("}"))
     stream = b.filter("n % 2 = 0").select(F.when(F.col("n") % 4 == 0, body).otherwise(F.concat(F.lit('{"stream":"x@kline_1h","data":'), body, F.lit("}"))).alias("value"))
     rows = b.filter("n % 2 = 1 AND n % 5 > 0").select("symbol", F.to_json(F.array(text("ts"), *[text(c) for c in ("open", "high", "low", "close", "volume")], (F.col("ts") + (src.HOUR_MS - 1)).cast("string"))).alias("value"))
     return features.closed_candles(readers.decode_klines(stream).unionByName(readers.decode_kline_rows(rows, "1h")))
@@ -165,28 +165,42 @@ def m4_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "percentile", "entry", "exit")
 
 
-@query(f"WITH {src.BARS}, {_SCORED} SELECT symbol, count(*) AS n, sum(label)::BIGINT AS positive FROM z GROUP BY 1")
+def _round(x: str, y: str, k: int) -> str:
+    return f"(({x} + ('0x' || substr(md5(({y})::VARCHAR || ':' || seed || ':{k}'), 1, 8))::BIGINT) % base)"
+
+
+def _step(x: str) -> str:
+    """One step of the bijection in DuckDB."""
+    high, low = f"({x} // base)", f"({x} % base)"
+    high = _round(high, low, 0)
+    low = _round(low, high, 1)
+    high = _round(high, low, 2)
+    return f"({high} * base + {_round(low, high, 3)})"
+
+
+@query(f"""WITH {src.BARS}, {_SCORED}, i AS (SELECT symbol, ts, label, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z),
+    q AS (SELECT *, floor(sqrt(n))::BIGINT + 1 AS base, unnest([3, 4, 5]) AS seed FROM i), f AS (SELECT *, {_step('i')} AS x FROM q),
+    w AS (SELECT *, CASE WHEN n <= 1 THEN 0 WHEN x < n THEN x ELSE list_reduce(list_prepend(x, range(64)), lambda acc, k: CASE WHEN acc < n THEN acc ELSE {_step('acc')} END) END AS at FROM f)
+    SELECT w.symbol, w.ts, seed::BIGINT AS seed, i.label FROM w JOIN i ON i.symbol = w.symbol AND i.i = w.at""")
 def m6_shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a permutation keeps: rows and labels of every symbol."""
-    return models.shuffled_labels(scored(spark, sf_dir), 3, ["symbol"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive"))
+    """Every symbol's labels dealt anew under three seeds."""
+    return models.shuffled_labels(scored(spark, sf_dir), [3, 4, 5], ["symbol"]).select("symbol", "ts", "seed", "label")
 
 
 _NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM bars)"
 
 
-@query(f"WITH {src.BARS}, {_NUMBERED} SELECT symbol, CASE WHEN i < floor(c * 0.8) THEN 'fit' ELSE 'calibration' END AS part, count(*) AS n, min(ts) AS first FROM n GROUP BY 1, 2")
+@query(f"WITH {src.BARS}, {_NUMBERED} SELECT symbol, ts, i, CASE WHEN i < floor(c * 0.8) THEN 'fit' ELSE 'calibration' END AS part FROM n")
 def w24_fit_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.fit_or_calibration(features.numbered(bars(spark, sf_dir)), ["symbol"])
-    return rows.groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+    return features.fit_or_calibration(features.numbered(bars(spark, sf_dir)), ["symbol"]).select("symbol", "ts", "i", "part")
 
 
 @query(f"""WITH {src.BARS}, {_NUMBERED}, s AS (SELECT DISTINCT symbol, c, floor(c * 0.4)::BIGINT AS lead, (c - floor(c * 0.4)::BIGINT) // 5 AS size FROM n), f AS (SELECT *, unnest(range(5)) AS fold FROM s),
     b AS (SELECT symbol, fold, lead + fold * size AS a, CASE WHEN fold = 4 THEN c ELSE lead + (fold + 1) * size END AS z FROM f WHERE size > 0)
-    SELECT n.symbol, fold, CASE WHEN i < a THEN 'warmup' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first FROM n JOIN b ON b.symbol = n.symbol AND i >= a - 40 AND i < z GROUP BY 1, 2, 3""")
+    SELECT n.symbol, fold, ts, CASE WHEN i < a THEN 'warmup' ELSE 'test' END AS part FROM n JOIN b ON b.symbol = n.symbol AND i >= a - 40 AND i < z""")
 def j13_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    rows = features.fold_rows(b, indicators.walk_forward(b))
-    return rows.groupBy("symbol", "fold", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+    return features.fold_rows(b, indicators.walk_forward(b)).select("symbol", F.col("fold").cast("long").alias("fold"), "ts", "part")
 
 
 @query(f"WITH {src.BARS}, f AS (SELECT symbol, arg_min(close, ts) AS first FROM bars GROUP BY 1) SELECT symbol, ts, CASE WHEN first > 0 THEN 1000000 * close / first ELSE 1000000 END AS hold, 1000000::DOUBLE AS flat FROM bars JOIN f USING (symbol)")
@@ -211,9 +225,10 @@ def w19_scaled_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warm feature rows with labels, numbered and parted 80 to 20 in every symbol."""
-    rows = features.warm(features.feature_table(bars(spark, sf_dir)))
-    labelled = indicators.triple_barrier(rows)
+    """Warm feature rows of all symbols but S0, which is their reference, with labels, numbered and parted 80 to 20 in every
+    symbol."""
+    table = features.feature_table(bars(spark, sf_dir), MODEL_FRAMES, "S0")
+    labelled = scratch.written(indicators.triple_barrier(features.warm(table, MODEL_FEATURES)), "labelled")
     return features.fit_or_calibration(features.numbered(labelled), ["symbol"])
 
 
@@ -231,20 +246,22 @@ def c3_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("symbol", "quote_volume", "last_price", "correlation"), 6, "correlation")
 
 
-MODEL_FEATURES = tuple(f for f in features.REQUIRED if not f.startswith("macd_signal"))
+#: All that a model is given: the required features, the trend, coarser frames and relative strength.
+MODEL_FRAMES = {"4h": 4 * src.HOUR_MS, "12h": 12 * src.HOUR_MS}
+MODEL_FEATURES = (*features.REQUIRED, "trend_regime_pct", *[f"{x}_{n}" for n in MODEL_FRAMES for x in ("rsi", "pct_b")], "relative_strength")
 
 
 @query()
 def m1_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 to M3: raw and calibrated scores of the calibration rows."""
+    """M1 to M3: raw and calibrated scores of the calibration rows, by all features."""
     rows = scratch.written(dataset(spark, sf_dir), "dataset")
-    return models.train(rows, MODEL_FEATURES, trees=5).score(rows.filter("part = 'calibration'")).select("symbol", "ts", "label", "score", "probability")
+    return models.train(rows, MODEL_FEATURES).score(rows.filter("part = 'calibration'")).select("symbol", "ts", "label", "score", "probability")
 
 
 @query()
 def m5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scratch.written(dataset(spark, sf_dir), "dataset")
-    return models.importance(models.train(rows, MODEL_FEATURES, trees=5), rows.filter("part = 'calibration'"))
+    return models.importance(models.train(rows, MODEL_FEATURES), rows.filter("part = 'calibration'"))
 
 
 def _streamed(rows: DataFrame, files: int = 4) -> DataFrame:
