@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .running import BLOCK, block_window, haloed, inside, previous, running
 
 DAY_MS = 86_400_000
@@ -77,9 +78,11 @@ def sampled(rows: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
 def rate_report(rates: DataFrame, time_col: str, rate_col: str, keys: tuple[str, ...] = ("symbol",), page: int = 1000, latency_s: float = 0.25) -> DataFrame:
     """Percentiles (linear between values), peak and span of rates by key; how long a page of ``page`` messages covers at
     the 99th percentile, and how many serial requests of the given latency fit into that (infinity without a rate)."""
-    p = F.percentile(rate_col, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rates.groupBy(*keys).agg(p.alias("p"), F.max(rate_col).alias("peak"), (F.max(time_col) - F.min(time_col) + 1).alias("span"))
-    out = out.select(*keys, *[F.get("p", F.lit(i)).alias(f"p{n}") for i, n in enumerate((50, 95, 99))], "peak", "span")
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in ranks.items()])
+    span = (F.max(time_col) - F.min(time_col) + 1).alias("span")
+    out = quantiles(rates, list(keys), rate_col, wanted, [F.max(rate_col).alias("peak"), span])
+    out = out.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in ranks], F.max("peak").alias("peak"), F.max("span").alias("span"))
     covered = F.when(F.col("p99") > 0, page / F.when(F.col("p99") > 0, F.col("p99"))).otherwise(float("inf"))
     return out.withColumn("covered", covered).withColumn("headroom", F.col("covered") / latency_s)
 

@@ -15,6 +15,7 @@ from tidemark.sources.scratch import written
 
 from . import running
 from .indicators import DAY_MS
+from .quantiles import quantiles
 from .running import previous
 
 
@@ -76,17 +77,11 @@ def thresholds(scored: DataFrame, keys: list[str], percentile: float = 80.0, mul
     """Entry and exit thresholds of every key from its calibration scores.
 
     The entry is the score at the given percentile, or at 100 less ``multiple`` times the label rate in percent if that is
-    stricter, 99.9 at most, linear between scores. The percentile depends on the key, so scores are ranked and the two
-    around it taken. The exit is ``hysteresis`` times the noise below, 0 at least.
+    stricter, 99.9 at most, linear between scores. The exit is ``hysteresis`` times the noise below, 0 at least.
     """
-    per = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), label_rate().alias("label_rate"))
     p = F.greatest(F.lit(percentile), F.least(F.lit(99.9), 100 - multiple * 100 * F.col("label_rate")))
-    per = per.withColumn("percentile", p).withColumn("_k", (F.col("n") - 1) * F.col("percentile") / 100)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("score", order)) - 1
-    near = scored.withColumn("_i", rank).join(per, keys).filter((F.col("_i") == F.floor("_k")) | (F.col("_i") == F.ceil("_k")))
-    held = near.groupBy(*keys, "n", "label_rate", "percentile", "_k").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    entry = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_k") - F.floor("_k"))
-    held = held.select(*keys, "n", "label_rate", "percentile", entry.alias("entry")).join(score_noise(scored, keys, order), keys)
+    held = quantiles(scored, keys, "score", F.array(F.struct(F.lit("entry").alias("name"), (p / 100).alias("p"))), [label_rate().alias("label_rate")])
+    held = held.select(*keys, "n", "label_rate", (F.col("p") * 100).alias("percentile"), F.col("quantile").alias("entry")).join(score_noise(scored, keys, order), keys)
     return held.withColumn("exit", F.greatest(F.lit(0.0), F.col("entry") - hysteresis * F.col("noise")))
 
 
