@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
 from .running import previous, running
 
 #: Share of a notional that an entry or an exit costs.
@@ -44,17 +46,17 @@ def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFram
 
 
 def equity_curve(trades: DataFrame, capital: int = 1_000_000) -> DataFrame:
-    """Equity after every trade of a run, in order of exit; a day of a run is one task's work."""
+    """Equity after every trade of a run, in order of exit, written; a day of a run is one task's work."""
     rows = trades.select("run", F.col("exit_ts").alias("ts"), "trade_id", "leg", "pnl")
-    rows = running(rows, ["run"], F.expr(f"ts div {DAY_MS}"), ORDER, F.col("pnl"), "sum", "sum")
-    return rows.select("run", *ORDER, (F.lit(capital) + F.col("sum")).cast("double").alias("equity"))
+    rows = running(written(rows, "pnl"), ["run"], F.expr(f"ts div {DAY_MS}"), ORDER, F.col("pnl"), "sum", "sum")
+    return written(rows.select("run", *ORDER, (F.lit(capital) + F.col("sum")).cast("double").alias("equity")), "curve")
 
 
 def drawdown(curve: DataFrame) -> DataFrame:
     """Largest fall below the running peak as a share of it, and the longest time under a peak."""
     day = F.expr(f"ts div {DAY_MS}")
-    c = running(curve, ["run"], day, ORDER, F.col("equity"), "max", "peak")
-    c = running(c, ["run"], day, ORDER, F.when(F.col("equity") >= F.col("peak"), F.col("ts")), "max", "at")
+    # The largest equity so far and, of points that reach it, the latest time.
+    c = running(curve, ["run"], day, ORDER, F.struct("equity", "ts"), "max", "top").withColumns({"peak": F.col("top.equity"), "at": F.col("top.ts")})
     fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.when(F.col("peak") > 0, F.col("peak"))).otherwise(0.0)
     return c.groupBy("run").agg(F.max(fall).alias("max_drawdown"), F.max(F.col("ts") - F.col("at")).alias("longest_ms"))
 
