@@ -91,9 +91,3 @@ def depth_fields(bids: Column, asks: Column) -> dict[str, Column]:
         "best_bid": bid, "best_ask": ask, "spread_pct": F.when(bid != 0, (ask - bid) / F.when(bid != 0, bid)), "bid_depth": b, "ask_depth": a,
         "imbalance": F.when(b + a != 0, (b - a) / F.when(b + a != 0, b + a)).otherwise(0.0),
     }
-
-
-def day_bounds(day: Column) -> tuple[Column, Column]:
-    """First and last millisecond of a day in UTC."""
-    start = F.unix_date(day).cast("bigint") * 86_400_000
-    return start, start + 86_399_999
