@@ -146,7 +146,11 @@ def scan_licenses(
 
 
 def license_digest(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """keep, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    A null or empty text has no word, no place (first_word and last_word are null), empty labels and score 0. Long texts are
+    scanned whole, repeated rows get equal results, an empty table gives none, and other columns play no part.
+    """
     found = scan_licenses(docs, text_col, keep=list(keep))
     base = F.filter("_l.places", lambda p: p["base"])
     starts = F.transform(base, lambda p: p["start"])

@@ -241,7 +241,11 @@ def fit_classifier(sums: list[tuple[str, float, float]]) -> tuple[dict[str, floa
 
 
 def pii_digest(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them), flagged (whether there is one)."""
+    """keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them), flagged (whether there is one).
+
+    A null or empty text has no span: counts are 0 and base_sha256 is that of no bytes. Long texts are scanned whole, repeated
+    rows get equal results, an empty table gives none, and other columns play no part.
+    """
     found = find_pii(docs, text_col, keep=list(keep))
     base = F.filter("_p", lambda p: p["base"])
     shown = lambda a: F.array_join(F.transform(a, lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",")

@@ -13,16 +13,19 @@ from .common import shared_dir, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document. Odd rows count as in license_scan.license_digest: a null text has no label."""
     return license_scan.license_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and back. A null text has the begin and end ids only, as in piece_codec.encode_documents."""
     import public_tokenizers
 
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back. A null page is a record without payload; a gap in the archives is an error."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     found = warc.whole(warc.read_warc(spark, path))
@@ -30,18 +33,22 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document. A null text has no span, as in pii.pii_digest."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. A document without a word has size and taken 0, as in mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "_m.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents. Null counts as empty; null ids lose, as in exact_dedup.exact_groups."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every document. A text without a word fails the base rule, as in quality.quality."""
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return found.select("doc_id", "_q.*")
 
@@ -64,15 +71,18 @@ def three_edits() -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. A text that is null or has no letter is und, as in langid.identify."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs), keep=["doc_id"])
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies. Null counts as empty; equal texts are one class, as in bagminhash.near_duplicates."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document, and back. A null text has none, as in byte_codec.encode_decode."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
@@ -80,14 +90,17 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of every document. A null text has weight 0; short ones aren't drawn, as in importance.importance."""
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language. A null text has no word, a null language is und, as in collocations.collocations."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run(); each stage says what becomes of odd rows."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

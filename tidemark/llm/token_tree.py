@@ -271,7 +271,11 @@ def edit_trees(
 
 
 def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", edits_col: str = "edits", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with the counts of edit_trees, over trees made on the way."""
+    """docs (or its columns in keep) with the counts of edit_trees, over trees made on the way.
+
+    A null text counts as empty, null edits as none; places beyond a text are its end. Repeated rows get equal results, an
+    empty table gives none; a column of a new name, in whatever case, is replaced.
+    """
     names = ["n_tokens", "n_pretokens", "n_tokens_after", "n_recounted"]
     keep = passing(docs.columns if keep is None else keep, [*names, edits_col])
     held = docs.select(row_of(keep), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
