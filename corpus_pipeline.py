@@ -17,7 +17,8 @@ from tidemark.llm.quality import quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Labels give the trusted target; counts are over all of docs.
+    """Documents that the quality rules reject go, null, empty and blank texts among them. Labels give the trusted target; counts
+    are over all of docs. Repeated rows go or stay together; an empty table stays empty; other columns pass through.
 
     The verdicts are written before they filter: pushed into the scan, the filter would repeat what they are made of.
     """
@@ -29,22 +30,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, a null text counting as empty and a null id losing; of rows equal in
+    both one stays. An empty table stays empty; other columns pass through."""
     return drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row with the smallest doc_id stays."""
+    """Of each class of near copies the row with the smallest doc_id stays, null ids last. Null counts as empty; texts without
+    words are near only their equals. An empty table stays empty; other columns pass through."""
     return drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their target weights: rows repeat up to three times or go."""
+    """Sources come near their target weights: rows repeat up to three times or go; rows without a word go. A null source is a
+    source. An empty table stays empty; other columns pass through."""
     return mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every row of the mix, as digests."""
+    """Piece ids of every row of the mix, as digests: doc_id, source, n_tokens, ids_sha256, decoded_sha256. A null text has the
+    begin and end ids only; repeated rows get equal results; an empty table gives none."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"], with_ids=False)
