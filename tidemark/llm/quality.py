@@ -142,7 +142,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ke
     """docs (or its columns in keep) with a struct column ``out``: the base counts, score and kept of every row.
 
     A null, empty or blank text has no word and fails the base rule; texts of any length are scored whole. Repeated rows count
-    in the corpus and get equal results; an empty table gives none. Without a trusted document, target and raw are one and
-    every score is 0. Other columns pass through; one named like ``out``, in whatever case, is replaced.
+    in the corpus and get equal results; an empty table gives none. Without a trusted document llr is null and the base rules
+    decide alone. Other columns pass through; one named like ``out``, in whatever case, is replaced.
     """
     return score_quality(docs, llr_table(docs, trusted_ids(labels)), threshold, keep=keep, out=out)
