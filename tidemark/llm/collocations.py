@@ -428,6 +428,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     alone = alone.withColumn("cut", F.struct(_score("a", "f1", "f2").alias("score"), F.lit(1).alias("k"), F.col("f1").alias("l"), F.col("f2").alias("r")))
     cols = [F.col("lang1").alias("lang"), F.concat_ws(" ", *[F.col(f"word{k}").cast("string") for k in (1, 2, 3)]).alias("phrase"), "a", "cut.l", "cut.r", "cut.score"]
     every = alone.select(*cols).unionByName(three.select(*cols))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # The best of parts of a language, then the best of those: one task sees at most ``first`` rows of each part.
+    parts = max(1, round(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    dealt = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= first)
+    top = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= first)
     return top.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
