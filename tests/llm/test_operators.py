@@ -230,12 +230,13 @@ def test_quality_scores_the_whole_text(spark, texts):
     labels = spark.createDataFrame([(k, 1) for k in range(len(clean))], "doc_id long, quality int")
     words = clean[0]
     made = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:60]) + " " + bad(20_000)), (3, corrupt(words))], "doc_id long, text string")
-    table = quality.llr_table(docs, quality.trusted_ids(labels))
-    rows = quality.score_quality(made, table).select("doc_id", "_q.kept", "_q.base_failed").collect()
+    ratios = quality.fit_ratios(docs, quality.trusted_ids(labels))._replace(threshold=-0.15)  # twenty documents fit none
+    rows = quality.score_quality(made, ratios).select("doc_id", "_q.kept", "_q.base_failed").collect()
     assert {r.doc_id: (r.kept, r.base_failed) for r in rows} == {1: (True, False), 2: (False, False), 3: (False, False)}
 
 
 def test_quality_counts(spark, docs, texts):
+    ratios = quality.fit_ratios(docs, quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet")))
     for r in quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet"), keep=["doc_id"]).select("doc_id", "_q.*").collect():
         t = texts[r.doc_id]
         ws = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -246,7 +247,20 @@ def test_quality_counts(spark, docs, texts):
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(ws), sum(map(len, ws)), len(cover))
         assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
         assert r.base_failed == (len(ws) < 50 or 100 * len(cover) > 50 * len(ws))
-        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+        assert r.kept == (not r.base_failed and r.llr >= ratios.threshold)
+
+
+def test_a_threshold_needs_trusted_documents_to_be_scored_by_others(spark):
+    """Without a trusted n-gram there are no ratios, with one trusted document or one fold no threshold; a base failure has no say."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    docs = spark.createDataFrame([(k, words(k % 3)) for k in range(30)] + [(90, "short"), (91, None), (None, words(1))], "doc_id long, text string")
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "doc_id long")
+    assert quality.fit_ratios(docs, ids(91)) is None and quality.fit_ratios(docs, ids(77)) is None
+    assert quality.fit_ratios(docs, ids(1)).threshold is None and quality.fit_ratios(docs, ids(1, 2, 3), folds=1).threshold is None
+    assert quality.fit_ratios(docs, ids(90)).threshold is None
+    some, more = quality.fit_ratios(docs, ids(*range(30))), quality.fit_ratios(docs, ids(*range(30)), margin=2.0)
+    assert some.table == more.table and more.threshold < some.threshold < 0.5
+    assert all(r.kept for r in quality.score_quality(docs.filter("doc_id < 30"), some).select("_q.kept").collect())
 
 
 def test_token_tree_equals_a_full_count(texts):

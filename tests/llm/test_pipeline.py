@@ -22,7 +22,9 @@ def lower(t):
 
 
 def brute_kept(docs, good):
-    """Ids that the quality rules keep: base rules, and the mean log ratio of all 4-byte n-grams."""
+    """Ids that the quality rules keep: base rules, and the mean log ratio of all 4-byte n-grams, by the threshold that ten
+    folds of the good documents give."""
+    import numpy as np
     import xxhash
 
     n = quality.BUCKETS
@@ -30,21 +32,34 @@ def brute_kept(docs, good):
     for i, t in docs.items():
         d = t.encode()
         grams[i] = [((xxhash.xxh64_intdigest(d[k : k + 4], seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)) % n for k in range(len(d) - 3)]
-    raw, target = Counter(), Counter()
-    for i, g in grams.items():
+    raw, seed = Counter(), xxhash.xxh64_intdigest(b"fold", seed=42)
+    for g in grams.values():
         raw.update(g)
-        if i in good:
-            target.update(g)
-    ratio = [math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n)) for b in range(n)]
-    out = set()
-    for i, t in docs.items():
-        ws = t.split()
-        tri = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
-        c = Counter(tri)
-        twice = {k + j for k, x in enumerate(tri) if c[x] > 1 for j in range(3)}
-        if len(ws) >= 50 and 2 * len(twice) <= len(ws) and sum(ratio[b] for b in grams[i]) / len(grams[i]) >= quality.THRESHOLD:
-            out.add(i)
-    return out
+    fold = {i: ((xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=seed) + (1 << 63)) % (1 << 64) - (1 << 63)) % quality.FOLDS for i in good & docs.keys()}
+
+    def ratios(ids):
+        target = Counter()
+        for i in ids:
+            target.update(grams[i])
+        return [math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n)) for b in range(n)]
+
+    mean = lambda ratio, i: sum(ratio[b] for b in grams[i]) / len(grams[i])
+    passed = {i for i, t in docs.items() if base_passes(t)}
+    scores = []
+    for k in range(quality.FOLDS):
+        others = ratios(i for i in fold if fold[i] != k)
+        scores += [mean(others, i) for i in fold if fold[i] == k and i in passed]
+    low = np.quantile(scores, quality.LOW)
+    ratio = ratios(fold)
+    return {i for i in passed if mean(ratio, i) >= low - quality.MARGIN}
+
+
+def base_passes(t):
+    ws = t.split()
+    tri = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
+    c = Counter(tri)
+    twice = {k + j for k, x in enumerate(tri) if c[x] > 1 for j in range(3)}
+    return len(ws) >= 50 and 2 * len(twice) <= len(ws)
 
 
 def brute_near(docs):
