@@ -296,7 +296,8 @@ def t4_live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {src.TICKS}, g AS (SELECT *, lag(id) OVER (PARTITION BY symbol ORDER BY ts, id) AS prev FROM ticks) SELECT symbol, prev + 1 AS expected_from, id AS found, id - prev - 1 AS missing, id - prev - 1 > 50000 AS is_hole FROM g WHERE id - prev > 1")
 def t6_live_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = src.ticks(spark, sf_dir).select("symbol", "id", "ts", F.col("id").alias("seq"))
+    """Trades come in order of time, those of one time by id."""
+    t = src.ticks(spark, sf_dir).select("symbol", "id", "ts", F.col("ts").alias("seq"))
     return scratch.drained(live.id_gaps(_streamed(t)), "gaps")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,19 +77,16 @@ def sampled(rows: DataFrame, bucket_ms: int = 60_000, late: str = "5 minutes") -
 
 
 def id_gaps(rows: DataFrame, id_col: str = "id", hole: int = 50_000) -> DataFrame:
-    """Missing ids per symbol in order of arrival (a column seq); the state is the last id."""
+    """Missing ids per symbol in order of arrival (a column seq, then the id); the state is the last id."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(parts)).sort_values("seq")
-        ids = whole[id_col]
-        prev = ids.shift(1)
-        if state.exists:
-            prev.iloc[0] = state.get[0]
-        found = ids[(ids - prev > 1)]
-        before = prev[found.index].astype("int64")
-        state.update((int(ids.iloc[-1]),))
-        missing = found - before - 1
-        yield pd.DataFrame({"symbol": key[0], "expected_from": before + 1, "found": found, "missing": missing, "is_hole": missing > hole})
+        # Parts are numbered from 0 each, so they are worked on by position.
+        ids = pd.concat(list(parts), ignore_index=True).sort_values(["seq", id_col])[id_col].to_numpy("int64")
+        prev = np.concatenate([[state.get[0] if state.exists else ids[0]], ids[:-1]])
+        at = ids - prev > 1
+        state.update((int(ids[-1]),))
+        found, missing = ids[at], (ids - prev - 1)[at]
+        yield pd.DataFrame({"symbol": key[0], "expected_from": prev[at] + 1, "found": found, "missing": missing, "is_hole": missing > hole})
 
     schema = "symbol string, expected_from bigint, found bigint, missing bigint, is_hole boolean"
     return rows.groupBy("symbol").applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
