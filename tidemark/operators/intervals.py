@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import previous, running
 
-#: Ids of a chunk: windows hold a chunk's rows, and joins meet within chunks.
-CHUNK = 1_000_000
+#: Ids of a chunk: windows hold a chunk's rows.
+CHUNK = 100_000
 
 
 def covered(rows: DataFrame, id_col: str = "id", key: str = "symbol") -> DataFrame:
@@ -39,23 +39,27 @@ def gaps(intervals: DataFrame, hole: int = 50_000, key: str = "symbol") -> DataF
     return seen.select(key, (F.col("_prev.hi") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"), missing.alias("missing"), (missing > hole).alias("is_hole"))
 
 
-def _chunked(intervals: DataFrame, key: str) -> DataFrame:
+def _chunked(intervals: DataFrame, id_col: str, key: str) -> DataFrame:
     """A row for every chunk that an interval reaches into."""
     chunks = F.sequence(F.expr(f"lo div {CHUNK}"), F.expr(f"hi div {CHUNK}"))
-    return intervals.select(F.col(key).alias("_key"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(chunks).alias("_in"))
+    return intervals.select(F.col(key).alias(key), F.col("lo").alias(id_col), F.col("hi").alias("_hi"), F.explode(chunks).alias("_chunk"), F.lit(False).alias("_row"))
 
 
-def _within(rows: DataFrame, intervals: DataFrame, id_col: str, key: str, how: str) -> DataFrame:
-    held = rows.withColumn("_of", F.expr(f"`{id_col}` div {CHUNK}"))
-    on = (F.col(key) == F.col("_key")) & (F.col("_of") == F.col("_in")) & F.col(id_col).between(F.col("_lo"), F.col("_hi"))
-    return held.join(_chunked(intervals, key), on, how).drop("_of")
+def _covering(rows: DataFrame, intervals: DataFrame, id_col: str, key: str) -> DataFrame:
+    """rows with ``_in``: whether an interval of their key holds their id. Rows and intervals of a chunk are sorted together,
+    and a row looks at the furthest end of the intervals that begin at it or before, so none meets them one by one."""
+    held = rows.withColumns({"_hi": F.lit(None).cast("long"), "_chunk": F.expr(f"`{id_col}` div {CHUNK}"), "_row": F.lit(True)})
+    both = held.unionByName(_chunked(intervals, id_col, key), allowMissingColumns=True)
+    before = Window.partitionBy(key, "_chunk").orderBy(id_col, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.max("_hi").over(before) >= F.col(id_col)
+    return both.withColumn("_in", F.coalesce(reached, F.lit(False))).filter("_row").drop("_hi", "_chunk", "_row")
 
 
 def within(rows: DataFrame, intervals: DataFrame, id_col: str = "id", key: str = "symbol") -> DataFrame:
     """rows whose id lies in an interval of their key."""
-    return _within(rows, intervals, id_col, key, "left_semi")
+    return _covering(rows, intervals, id_col, key).filter("_in").drop("_in")
 
 
 def without(rows: DataFrame, intervals: DataFrame, id_col: str = "id", key: str = "symbol") -> DataFrame:
     """rows whose id lies in no interval of their key."""
-    return _within(rows, intervals, id_col, key, "left_anti")
+    return _covering(rows, intervals, id_col, key).filter("NOT _in").drop("_in")

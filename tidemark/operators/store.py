@@ -87,10 +87,11 @@ def capture(trades: DataFrame, path: str, batch: int, bucket_ms: int = 1000) ->
     known = stored(spark, f"{path}/ids")
     if known is not None:
         trades = intervals.without(trades, known.filter(F.col("batch") != batch).select("symbol", "lo", "hi"))
-    fresh = trades.dropDuplicates(["symbol", "id"])
+    fresh = trades.dropDuplicates(["symbol", "id"]).persist()
     number = F.lit(batch).cast("long").alias("batch")
     _replace(flow.flow_buckets(fresh, bucket_ms).drop("vwap").select("*", number), f"{path}/partials", "batch")
     _replace(intervals.covered(fresh).select("*", number), f"{path}/ids", "batch")
+    fresh.unpersist()
 
 
 def captured(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
