@@ -149,7 +149,11 @@ def j6_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(*registry_of(spark, sf_dir))
 
 
-@query(f"""WITH {src.PRICES}, {_IDENTITY}, span AS (SELECT ticker, min(trade_date) AS valid_from, max(trade_date) AS last FROM prices GROUP BY 1)
+#: A ticker that several names are asked for has its first one, as all are of one year.
+_FIRST_NAMES = _IDENTITY.replace("SELECT ticker, root, upper(p_name) AS name FROM sup JOIN part ON p_partkey = k", "SELECT ticker, root, min(upper(p_name)) AS name FROM sup JOIN part ON p_partkey = k GROUP BY 1, 2")
+
+
+@query(f"""WITH {src.PRICES}, {_FIRST_NAMES}, span AS (SELECT ticker, min(trade_date) AS valid_from, max(trade_date) AS last FROM prices GROUP BY 1)
     SELECT ticker, name, company, source, valid_from, CASE WHEN (SELECT max(last) FROM span) - last > 180 THEN last END AS valid_to, CASE WHEN company IS NULL THEN 'unresolved' END AS reason FROM resolved JOIN span USING (ticker)""")
 def c2_ticker_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, registry = registry_of(spark, sf_dir)
