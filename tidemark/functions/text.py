@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of company names that identify none.
 GENERIC_TOKENS = (
@@ -17,18 +18,8 @@ GENERIC_TOKENS = (
 EQUITY_PREFIXES, EQUITY_EXACT = ("ON", "PN", "PR", "OR"), ("UNT",)
 
 
-def _ascii_of_characters() -> tuple[str, str, dict[str, str]]:
-    """What compatibility decomposition leaves of characters in ASCII: those that leave one letter, that letter, and those
-    that leave several. All others beyond ASCII leave nothing."""
-    one, several = {}, {}
-    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
-        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-        if left:
-            (one if len(left) == 1 else several)[c] = left
-    return "".join(one), "".join(one.values()), several
-
-
-_FROM, _TO, _SEVERAL = _ascii_of_characters()
+#: What becomes of a byte of a name: letters are upper-case, digits stay, all else parts words.
+_WORD_BYTES = bytes(b if chr(b).isalnum() else 32 for b in bytes(range(128)).upper()) + b" " * 128
 
 
 def _tokens(c: Column) -> Column:
@@ -73,11 +64,17 @@ def three_levels(c: Column) -> Column:
 def plain_name(c: Column) -> Column:
     """Upper-case ASCII letters and digits with single spaces between words. Characters are decomposed (NFKD), so accents go
     and ligatures fall apart; what isn't ASCII then is dropped."""
-    parts = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string, string>")  # a literal once the plan is optimised
-    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(parts[x], x)), "")
-    whole = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(c)
-    bare = F.regexp_replace(F.translate(whole, _FROM, _TO), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(bare), "[^A-Z0-9 ]", " "), " +", " "))
+    table = _WORD_BYTES
+
+    def plain(name: bytes) -> bytes:
+        if not name.isascii():
+            name = unicodedata.normalize("NFKD", name.decode("utf-8", "ignore")).encode("ascii", "ignore")
+        return b" ".join(name.translate(table).split())
+
+    def column(names: pa.Array) -> pa.Array:
+        return pa.array([None if n is None else plain(n) for n in names.to_pylist()], pa.binary()).cast(pa.string())
+
+    return F.arrow_udf(column, StringType())(c.cast("binary"))
 
 
 def significant_tokens(c: Column, generic: tuple[str, ...] = GENERIC_TOKENS) -> Column:
