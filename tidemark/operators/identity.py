@@ -18,19 +18,23 @@ def _unique(pairs: DataFrame, key: str) -> DataFrame:
 def by_name(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(ticker, company) where all significant tokens of the ticker's name are among those of one name of exactly one company.
 
-    An inverted index of names is probed by each asked name's rarest token alone; what it finds is verified on the sets of
-    tokens. A token that is in very many names is probed only by names that have no rarer one. A token that no name has ends
-    the search: it is the rarest.
+    Names and asked names count once per set of tokens; of a set's companies the least and the largest say whether it is one.
+    An inverted index of sets is probed by each asked set's rarest token alone; what it finds is verified on the sets. A token
+    that is in very many sets is probed only by sets that have no rarer one. A token that no name has ends the search: it is
+    the rarest.
     """
-    known = names.select("company", significant_tokens(F.col("name")).alias("of")).filter("size(of) > 0").distinct()
-    index = known.select("company", "of", F.explode("of").alias("token"))
+    ends = lambda a, b: [F.min(a).alias("least"), F.max(b).alias("most")]
+    tokens = F.array_sort(significant_tokens(F.col("name")))
+    known = names.select("company", tokens.alias("of")).filter("size(of) > 0").groupBy("of").agg(*ends("company", "company"))
+    index = known.select("of", "least", "most", F.explode("of").alias("token"))
     sizes = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("ticker", significant_tokens(F.col("name")).alias("t")).filter("size(t) > 0").distinct()
-    ranked = asked.select("ticker", "t", F.explode("t").alias("token")).join(sizes, "token", "left")
+    asked = queries.select("ticker", tokens.alias("t")).filter("size(t) > 0")
+    ranked = asked.select("t").distinct().select("t", F.explode("t").alias("token")).join(sizes, "token", "left")
     rarest = F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token"))
-    probes = ranked.groupBy("ticker", "t").agg(rarest.alias("token"))
-    held = probes.join(index, "token").filter(F.size(F.array_except("t", "of")) == 0)
-    return _unique(held.select("ticker", "company").distinct(), "ticker")
+    probes = ranked.groupBy("t").agg(rarest.alias("token"))
+    held = probes.join(index, "token").filter(F.size(F.array_except("t", "of")) == 0).groupBy("t").agg(*ends("least", "most"))
+    found = asked.join(held, "t").groupBy("ticker").agg(*ends("least", "most"))
+    return found.filter("least = most").select("ticker", F.col("least").alias("company"))
 
 
 def resolve(queries: DataFrame, registry: dict[str, DataFrame], root_len: int = 4) -> DataFrame:
