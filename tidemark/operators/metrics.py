@@ -14,6 +14,8 @@ from .running import previous, running
 #: Share of a notional that an entry or an exit costs.
 FEE = Decimal("0.001")
 DAY_MS, ORDER = 86_400_000, ["ts", "trade_id", "leg"]
+#: Rows of a written curve that a task sorts, about; tasks grow with the curve, not their memory.
+TASK_ROWS = 250_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -45,10 +47,16 @@ def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFram
     return out.withColumn("profit_factor", ratio(F.col("gross_profit"), F.col("gross_loss")))
 
 
+def _parts(rows: DataFrame) -> int:
+    """Tasks for written rows, from the counts in their files' footers."""
+    return rows.count() // TASK_ROWS + 1
+
+
 def equity_curve(trades: DataFrame, capital: int = 1_000_000) -> DataFrame:
     """Equity after every trade of a run, in order of exit, written; a day of a run is one task's work."""
     rows = trades.select("run", F.col("exit_ts").alias("ts"), "trade_id", "leg", "pnl")
-    rows = running(written(rows, "pnl"), ["run"], F.expr(f"ts div {DAY_MS}"), ORDER, F.col("pnl"), "sum", "sum")
+    rows = written(rows, "pnl")
+    rows = running(rows, ["run"], F.expr(f"ts div {DAY_MS}"), ORDER, F.col("pnl"), "sum", "sum", parts=_parts(rows))
     return written(rows.select("run", *ORDER, (F.lit(capital) + F.col("sum")).cast("double").alias("equity")), "curve")
 
 
@@ -56,7 +64,7 @@ def drawdown(curve: DataFrame) -> DataFrame:
     """Largest fall below the running peak as a share of it, and the longest time under a peak."""
     day = F.expr(f"ts div {DAY_MS}")
     # The largest equity so far and, of points that reach it, the latest time.
-    c = running(curve, ["run"], day, ORDER, F.struct("equity", "ts"), "max", "top").withColumns({"peak": F.col("top.equity"), "at": F.col("top.ts")})
+    c = running(curve, ["run"], day, ORDER, F.struct("equity", "ts"), "max", "top", parts=_parts(curve)).withColumns({"peak": F.col("top.equity"), "at": F.col("top.ts")})
     fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.when(F.col("peak") > 0, F.col("peak"))).otherwise(0.0)
     return c.groupBy("run").agg(F.max(fall).alias("max_drawdown"), F.max(F.col("ts") - F.col("at")).alias("longest_ms"))
 
@@ -85,15 +93,17 @@ def breaker(curve: DataFrame, window_ms: int = 3_600_000, loss: float = 0.1) ->
     """First time at which equity has fallen by loss from its peak of the last window or of the run; null if never.
     Points of one time count together.
 
+    Points of one time become one before windows: of a time its highest equity counts for the peak, its lowest for the fall.
     The window's peak is taken over chunks of twice the window that overlap by one, so no task holds a whole run.
     """
     day = F.expr(f"ts div {DAY_MS}")
-    c = running(curve, ["run"], day, ORDER, F.col("equity"), "max", "peak")
+    fell = lambda p, e: F.coalesce((F.col(p) > 0) & ((F.col(p) - F.col(e)) / F.when(F.col(p) > 0, F.col(p)) >= loss), F.lit(False))
+    c = running(curve.select("run", *ORDER, "equity"), ["run"], day, ORDER, F.col("equity"), "max", "peak", parts=_parts(curve))
+    c = c.groupBy("run", "ts").agg(F.max("equity").alias("high"), F.min("equity").alias("low"), F.max(fell("peak", "equity")).alias("fell"))
     wide = F.explode(F.array_distinct(F.array(F.expr(f"ts div {window_ms}"), F.expr(f"ts div {window_ms}") + 1)))
     recent = Window.partitionBy("run", "_c").orderBy("ts").rangeBetween(-window_ms, 0)
-    c = c.withColumn("_c", wide).withColumn("recent", F.max("equity").over(recent)).filter(F.col("_c") == F.expr(f"ts div {window_ms}"))
-    fell = lambda p: F.coalesce((F.col(p) > 0) & ((F.col(p) - F.col("equity")) / F.when(F.col(p) > 0, F.col(p)) >= loss), F.lit(False))
-    return c.groupBy("run").agg(F.min(F.when(fell("recent") | fell("peak"), F.col("ts"))).alias("triggered_at"))
+    c = c.withColumn("_c", wide).withColumn("recent", F.max("high").over(recent)).filter(F.col("_c") == F.expr(f"ts div {window_ms}"))
+    return c.groupBy("run").agg(F.min(F.when(fell("recent", "low") | F.col("fell"), F.col("ts"))).alias("triggered_at"))
 
 
 def exposure(trades: DataFrame) -> DataFrame:

@@ -23,15 +23,17 @@ def previous(rows: DataFrame, keys: list[str], chunk: Column, order: list[str],
     return inside.join(before, [*keys, "_chunk"]).withColumn(name, F.coalesce(name, "_before")).drop("_chunk", "_before")
 
 
-def running(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, fold: str, name: str, current: bool = True) -> DataFrame:
-    """rows with ``name``: the sum or maximum of value over the key's rows so far, with the current one or without it."""
+def running(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, fold: str, name: str, current: bool = True, parts: int | None = None) -> DataFrame:
+    """rows with ``name``: the sum or maximum of value over the key's rows so far, with the current one or without it. Chunks are
+    dealt to ``parts`` tasks if that is given."""
     agg, both = _FOLDS[fold]
     rows = rows.withColumn("_chunk", chunk).withColumn("_value", value)
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
     per = rows.groupBy(*keys, "_chunk").agg(agg("_value").alias("_total"))
     upto = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = per.withColumn("_before", agg("_total").over(upto)).drop("_total")
-    inside = rows.withColumn("_inside", agg("_value").over(frame)).join(before, [*keys, "_chunk"])
+    dealt = rows.repartition(parts, *keys, "_chunk") if parts else rows
+    inside = dealt.withColumn("_inside", agg("_value").over(frame)).join(before, [*keys, "_chunk"])
     total = F.when(F.col("_before").isNull(), F.col("_inside")).when(F.col("_inside").isNull(), F.col("_before")).otherwise(both(F.col("_inside"), F.col("_before")))
     return inside.withColumn(name, total).drop("_chunk", "_value", "_inside", "_before")
 
